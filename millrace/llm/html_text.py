@@ -132,8 +132,12 @@ def features(page: Page) -> list[list[str]]:
         links[page.nodes[i].parent] += links[i]
     out = []
     for i, n in enumerate(page.nodes):
+        if n.tag in ("#root", "html", "body", "head"):
+            out.append(["tag=" + n.tag])
+            continue
         f = ["bias", "tag=" + n.tag, f"own={min(n.chars, 4000).bit_length()}", f"below={min(below[i], 4000).bit_length()}"]
         f += ["name=" + x for x in dict.fromkeys(n.names)]
+        f += [f"in={n.tag}<{page.nodes[n.parent].tag}", f"share={4 * below[i] // max(below[0], 1)}"]
         f.append(f"links={4 * links[i] // max(below[i], 1)}")
         f.append(f"stops={min(n.stops, 3)}" if n.chars else "bare")
         out.append(f)
@@ -218,7 +222,7 @@ def training_page(r: random.Random) -> Page:
             items = "".join(tag("li", f'<a href="/{word()}">{words(1, 4)}</a>', 0) for _ in range(r.randint(2, 8)))
             inner = items if name in ("ul", "ol", "menu") else tag("ul", items, 0)
         elif kind == "comments":
-            one = lambda: tag(r.choice(["div", "li", "article"]), tag("p", words(4, 60), 0), 0, r.choice([None, ["comment"], ["reply"]]))
+            one = lambda: tag(r.choice(["div", "li", "div", "li", "article"]), tag("p", words(4, 60), 0), 0, r.choice([None, ["comment"], ["reply"]]))
             inner = tag("h3", words(1, 3), 0) + "".join(one() for _ in range(r.randint(1, 5)))
         elif style < 0.3:
             inner = words(2, 40)
@@ -231,19 +235,20 @@ def training_page(r: random.Random) -> Page:
     def part() -> str:
         x = r.random()
         if x < 0.72:
-            return tag("p", ("<b>" if r.random() < 0.1 else "") + words(1, 90), 1)
+            return tag("p", ("<b>" if r.random() < 0.1 else "") + words(1, long), 1)
         if x < 0.8:
             return tag(r.choice(["h2", "h3", "h4"]), words(1, 8), 1)
         if x < 0.87:
             return tag(r.choice(["ul", "ol"]), "".join(tag("li", words(1, 20), 1) for _ in range(r.randint(1, 5))), 1)
         if x < 0.93:
-            return tag(r.choice(["blockquote", "pre", "figure", "div", "section"]), tag("p", words(3, 60), 1) if r.random() < 0.6 else words(3, 60), 1)
+            return tag(r.choice(["blockquote", "pre", "figure", "div", "section"]), tag("p", words(1, long), 1) if r.random() < 0.6 else words(1, long), 1)
         return tag("table", tag("tr", "".join(tag("td", words(1, 6), 1) for _ in range(3)), 1), 1)
 
-    inner = tag("h1", words(2, 9), 1) if r.random() < 0.85 else ""
+    long = r.choice([6, 25, 90, 90])  # some pages have little text
+    inner = tag("h1", words(1, 9), 1) if r.random() < 0.85 else ""
     if r.random() < 0.2:
         inner = tag("header", inner, 1)
-    for _ in range(r.randint(1, 12)):
+    for _ in range(r.randint(1, r.choice([2, 12]))):
         inner += part()
         if r.random() < 0.12:
             inner += other(r.choice(["ad", "side", "share", "form", "notice", "nav"]))
@@ -255,7 +260,9 @@ def training_page(r: random.Random) -> Page:
         main = tag(r.choice(["div", "main", "section"]), main, 1, r.choice([None, ["content"], ["wrap"], ["main"]]))
     pick = lambda ks, p: "".join(other(k) for k in ks if r.random() < p)
     body = pick(["notice", "header", "nav", "ad", "share", "form", "side"], 0.45) + main + pick(["comments", "side", "ad", "share", "form", "notice", "footer"], 0.45)
-    source = f'<html data-y="0"><head><title>{words(1, 5)}</title></head><body data-y="0">{body}</body></html>'
+    if r.random() < 0.1:
+        body = main
+    source = f'<html data-y="0"><head><title>{words(1, 5)}</title></head><body data-y="0">{body}</body></html>' if r.random() < 0.9 else r.choice([body, main])  # or a fragment
     page = parse(source)
     labels = iter([int(m[2]) for m in re.finditer(r'<([a-z0-9]+) data-y="(\d)"( class)?', source) if m[1] not in INLINE or m[3]])
     for n in page.nodes[1:]:
