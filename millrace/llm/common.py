@@ -128,9 +128,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def word_hashes(text: str | None, lower: bool) -> np.ndarray:
+def word_hashes(text: str | bytes | None, lower: bool) -> np.ndarray:
     """One 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+`` of the whole text; ``lower`` folds A-Z first."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw.lower() if lower else raw, np.uint8)  # bytes.lower() changes A-Z only
     if not len(data):
         return np.empty(0, np.uint64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,16 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RID, mix64, with_rid
+from millrace.llm.common import RID, mix64, with_rid, word_hashes
 
 #: Bounds of what is fitted on: labelled rows, and rows that may get a pseudo-label.
 LABELLED, POOL = 3000, 2000
-ROUNDS, PER_ROUND, CONFIDENT = 6, 60, 0.97
+ROUNDS, PER_ROUND, CONFIDENT = 4, 60, 0.97
+#: Documents whose chance of good quality is under this are rejected: clean documents weigh more than a few bad ones.
+LEAST = 0.2
 CLASSES, META = 64, 256
+#: Bytes that short texts are filled up by, and bounds of the repetition marks (the last pair classes are no byte's).
+SMOOTH, RATES = 300, np.array([0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7])
 
 
 def _byte_classes() -> np.ndarray:
-    out = np.full(256, 63)
+    out = np.full(256, 62)
     out[ord("a") : ord("z") + 1] = np.arange(26)
     out[ord("A") : ord("Z") + 1] = 26
     out[ord("0") : ord("9") + 1] = 27
@@ -34,10 +39,17 @@ BYTE_CLASS = _byte_classes()
 
 
 def text_view(raw: bytes) -> np.ndarray:
-    """Unit vector of the square roots of pair counts of byte classes over the whole text."""
+    """Square roots of pair counts of byte classes over the whole text, small for short texts, and the text's own repetition:
+    one of eight marks for the share of words that equal the one before, and one for that of words seen before."""
     c = BYTE_CLASS[np.frombuffer(raw, np.uint8)]
-    v = np.sqrt(np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)) if len(c) > 1 else np.zeros(CLASSES * CLASSES)
-    return (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32)
+    v = np.zeros(CLASSES * CLASSES, np.float32)
+    if len(c) > 1:
+        v = (np.sqrt(np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)) / np.sqrt(len(c) + SMOOTH)).astype(np.float32)
+    w = word_hashes(raw, False)
+    if len(w) > 1:
+        v[-1 - int(np.searchsorted(RATES, (w[1:] == w[:-1]).mean()))] = 0.5
+        v[-10 - int(np.searchsorted(RATES, 1 - len(np.unique(w)) / len(w)))] = 0.25
+    return v
 
 
 def meta_view(values: list, size: int) -> np.ndarray:
@@ -53,14 +65,15 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 120) -> tuple[np.ndarray, float]:
     """Class-balanced logistic regression by accelerated gradient steps."""
     n, d = x.shape
+    x, y = x.astype(np.float32, copy=False), y.astype(np.float32)
     weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-3), 0.5 / max((y == 0).mean(), 1e-3)).astype(np.float32) / n
     w, b, mw, mb = np.zeros(d, np.float32), 0.0, np.zeros(d, np.float32), 0.0
     rate = 8.0
     for _ in range(steps):
-        e = (_sigmoid(x @ (w + 0.9 * mw) + b + 0.9 * mb) - y) * weight
+        e = (_sigmoid(x @ (w + 0.9 * mw) + np.float32(b + 0.9 * mb)) - y) * weight  # all float32: no copies of x
         mw = 0.9 * mw - rate * 0.5 * (x.T @ e + l2 * (w + 0.9 * mw)).astype(np.float32)
         mb = 0.9 * mb - rate * 0.5 * float(e.sum())
         w, b = w + mw, b + mb
@@ -155,13 +168,13 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
     as_matrix = lambda some, k, d: np.frombuffer(b"".join(bytes(r[k]) for r in some), np.float16).reshape(len(some), d).astype(np.float32)
     mine, rest = [r for r in rows if r["__y"] is not None], [r for r in rows if r["__y"] is None]
     y = np.array([float(r["__y"] > 0) for r in mine])
-    held = np.arange(len(y)) % 4 == 0
+    held = np.array([zlib.crc32(f"held {r[doc_id]}".encode()) % 4 == 0 for r in mine], bool)  # by id, so no order of the table shows in it
     if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
         return None
     return co_train(*(as_matrix(mine, k, d) for k, d in (("t", CLASSES**2), ("m", META))), y, held, *(as_matrix(rest, k, d) for k, d in (("t", CLASSES**2), ("m", META))))
 
 
-def score(df: DataFrame, model: Model | None, text: str = "text", doc_id: str = "doc_id", meta: tuple[str, ...] = ("lang", "source"), least: float = 0.5) -> DataFrame:
+def score(df: DataFrame, model: Model | None, text: str = "text", doc_id: str = "doc_id", meta: tuple[str, ...] = ("lang", "source"), least: float = LEAST) -> DataFrame:
     """One row for each row of ``df``: ``__rid, doc_id, score, kept``; ``score`` is the calibrated chance of good quality.
 
     Whole texts are read; a null or empty text has an empty text view. Null metadata is a value of its own. Rows that
@@ -190,7 +203,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", doc_id: str =
     return d.mapInArrow(run, f"{RID} long, doc_id {dict(d.dtypes)['doc_id']}, score double, kept boolean")
 
 
-def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", meta: tuple[str, ...] = ("lang", "source"), least: float = 0.5) -> DataFrame:
+def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", meta: tuple[str, ...] = ("lang", "source"), least: float = LEAST) -> DataFrame:
     """The rows of ``df`` that are kept, with their columns, scored where they are: nothing is shuffled."""
     model = fit(df, labels, text, doc_id, meta)
     if model is None:
