@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RID, Rolling, staged, with_rid
+from millrace.llm.common import RID, Rolling, mix64, staged, with_rid
 from millrace.llm.suffix_array import suffix_array
 
 #: Bytes of the hashed string that ranks a place, and the places of which the least is an anchor.
@@ -57,7 +57,8 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), SPREAD, False) == ranks)
     heads = _HEAD.of(_HEAD.prefix(data), at, at + head)
     left, right = np.minimum(at, SPREAD - 1), np.minimum(n - at, length)
-    return at, heads.view(np.int64), _CONTEXT.of(_CONTEXT.prefix(data), at - left, at + right).view(np.int64), left, right
+    contexts = mix64(_CONTEXT.of(_CONTEXT.prefix(data), at - left, at + right) + left.astype(np.uint64))  # the anchor's place counts
+    return at, heads.view(np.int64), contexts.view(np.int64), left, right
 
 
 def _bytes(column: pa.Array) -> pa.Array:
