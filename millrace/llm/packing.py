@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import staged
 
 END_ID = 1
-#: Words whose ids a Python worker keeps at most; then it starts anew.
-CACHE_WORDS = 600_000
+#: Words as written, and words without case and closing marks, whose ids a Python worker keeps at most; then it starts anew.
+CACHE_WORDS, CACHE_CORES = 400_000, 900_000
+_CLOSING = re.compile(rb"[!-&(-/:-@\[-`{-~]+\Z")  # ASCII marks but the apostrophe, which may begin a token of its own
 _CACHE: dict[str, tuple] = {}
 
 
@@ -29,6 +32,7 @@ class WordTokens:
         self.whole = Tokenizer.from_file(path)
         self.specials = tuple(t.content.encode() for t in self.whole.get_added_tokens_decoder().values())
         self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     @staticmethod
     def at(path: str) -> WordTokens:
@@ -50,12 +54,29 @@ class WordTokens:
             pass
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        if len(self.cores) > CACHE_CORES:
+            self.cores.clear()
+        parts = {w: self.parts(w) for w in dict.fromkeys(words) if w not in known}
+        self.encode([c for own in parts.values() for c in own])
+        for w, own in parts.items():
+            known[w] = b"".join([self.cores[c] for c in own])
+        return b"".join([known[w] for w in words])
+
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, ...]:
+        """Pieces that are encoded alike alone and together: the case of ASCII words doesn't count (before an accent of its own
+        it would), and a token never joins a letter and the marks after it."""
+        low = word.lower() if word.isascii() else word
+        if (m := _CLOSING.search(low)) and m.start() and (low[m.start() - 1 : m.start()].isalpha() or low[m.start() - 1] > 127 and unicodedata.normalize("NFC", low[: m.start()].decode()).lower()[-1].isalpha()):
+            return low[: m.start()], m[0]
+        return (low,)
+
+    def encode(self, cores: list[bytes]) -> None:
+        new = [c for c in dict.fromkeys(cores) if c not in self.cores]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for w, e in zip(part, self.whole.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            for c, e in zip(part, self.whole.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
+                self.cores[c] = np.array(e.ids, "<u4").tobytes()
 
 
 def minimum_bin_slack(counts: dict[int, int], size: int) -> list[tuple[list[tuple[int, int]], int]]:
