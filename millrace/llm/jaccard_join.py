@@ -32,6 +32,8 @@ MOST_COMMON = 1 << 17
 SHARED = 3
 #: Odds of a missed candidate, far below those of two equal 64-bit hashes.
 MISS = 1e-20
+#: Bits of the filter by which tasks keep the sets that are wanted; a join follows, so a full filter only costs time.
+FILTER_BITS = 1 << 26
 #: Hashes that one verification task holds, about; larger components are verified in pairs of blocks.
 BLOCK = 1_500_000
 
@@ -82,14 +84,34 @@ def signature(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return rare[:take] if len(rare) >= take else np.concatenate([rare, tokens[is_common][: take - len(rare)]])
 
 
-def _sets(df: DataFrame, text: str, key: str, lower: bool, common: np.ndarray, whole: bool) -> DataFrame:
-    """``key, n_shingles, hi, lo, tokens``: two hashes of the whole set, and the signature or the set itself."""
-    held = df.sparkSession.sparkContext.broadcast(common)
+def _filter(keys: DataFrame, key: str) -> np.ndarray:
+    """``FILTER_BITS`` bits as bytes, whatever the number of keys: made by partial aggregates of 4 KB each."""
+    place = F.pmod(F.col(key) + F.shiftright(F.col(key), 33) * 1_000_003, F.lit(FILTER_BITS)) + 1
+    parts = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _may_have(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    p = (key + (key >> 33) * 1_000_003) % FILTER_BITS
+    return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sets(df: DataFrame, text: str, key: str, lower: bool, common: np.ndarray, whole: bool, only: np.ndarray | None = None) -> DataFrame:
+    """``key, n_shingles, hi, lo, tokens``: two hashes of the whole set, and the signature or the set itself.
+
+    ``only``: a filter; rows whose key it can't have are left out before their text is read.
+    """
+    held, wanted = df.sparkSession.sparkContext.broadcast(common), df.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from millrace.llm.common import mix64
 
         for b in batches:
+            if wanted.value is not None:
+                b = b.filter(pa.array(_may_have(wanted.value, b.column(0).to_numpy())))
             n, hi, lo, out = [], [], [], []
             for t in b.column(1):
                 s = shingle_hashes(word_hashes(t.as_py(), lower))
@@ -255,8 +277,7 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     sized = groups.join(reps.select("rep", "n_shingles"), "rep")
     parts = sized.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("parts"))
     placed = groups.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    wanted = base.join(groups.select(F.col("rep").alias(RID)), RID, "left_semi")
-    full = _sets(wanted, "text", RID, lower, np.empty(0, np.uint64), True).select(F.col("key").alias("rep"), "tokens")
+    full = _sets(base, "text", RID, lower, np.empty(0, np.uint64), True, _filter(groups, "rep")).select(F.col("key").alias("rep"), "tokens")
     links = staged(_verify(full.join(placed, "rep")), "found")
     joined = components(links).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     classes = reps.select("hi", "lo", "n_shingles", "rep").join(joined, "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("root", "rep").alias("root"))
