@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-import unicodedata
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -17,22 +18,35 @@ from pyspark.sql import functions as F
 from millrace.llm.common import staged
 
 END_ID = 1
-#: Words as written, and words without case and closing marks, whose ids a Python worker keeps at most; then it starts anew.
-CACHE_WORDS, CACHE_CORES = 400_000, 900_000
-_CLOSING = re.compile(rb"[!-&(-/:-@\[-`{-~]+\Z")  # ASCII marks but the apostrophe, which may begin a token of its own
-_CACHE: dict[str, tuple] = {}
+#: White-space words, and pieces of words, whose ids a Python worker keeps at most; then it starts anew.
+CACHE_WORDS, CACHE_PIECES = 400_000, 900_000
+#: How the tokenizers that are taken apart here normalize and split. Any other kind encodes whole texts.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters alone (but the one whose lower case is two) are split by the same rule in the terms of ``re``.
+_LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\w\s]|_)+")
+#: The character for each byte in a byte-level vocabulary: printable Latin ones are themselves, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+_CACHE: dict[str, WordTokens] = {}
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizer that never merges across white space: each distinct word is encoded once a worker."""
+    """Ids of whole texts; each distinct piece of a word is merged once a worker where the tokenizer splits as ``_SPLIT`` does."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.specials = tuple(t.content.encode() for t in self.whole.get_added_tokens_decoder().values())
+        self.model = self.whole.model
+        self.specials = tuple(t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values())
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        own = json.loads(self.whole.to_str())
+        kinds = [x["type"] for x in (own["normalizer"] or {}).get("normalizers", ())]
+        split, *rest = (own["pre_tokenizer"] or {}).get("pretokenizers", [None])
+        self.by_words = kinds == _NORMALIZERS and bool(rest) and split.get("pattern", {}).get("Regex") == _SPLIT and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
 
     @staticmethod
     def at(path: str) -> WordTokens:
@@ -44,9 +58,11 @@ class WordTokens:
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         raw = text.encode("utf-8", "replace")
-        if any(s in raw for s in self.specials):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = raw.split()  # at ASCII white space only
+        low = raw.lower()  # A-Z only
+        if not self.by_words or any(s in low for s in self.specials):
+            return _packed(self.whole.encode(raw.decode(), add_special_tokens=False).ids)
+        # a letter and a combining accent (bytes CC and CD) are joined before the case is folded
+        words = (raw if b"\xcc" in raw or b"\xcd" in raw else low).split()  # at ASCII white space only
         known = self.words
         try:
             return b"".join([known[w] for w in words])
@@ -54,29 +70,28 @@ class WordTokens:
             pass
         if len(known) > CACHE_WORDS:
             known.clear()
-        if len(self.cores) > CACHE_CORES:
-            self.cores.clear()
-        parts = {w: self.parts(w) for w in dict.fromkeys(words) if w not in known}
-        self.encode([c for own in parts.values() for c in own])
-        for w, own in parts.items():
-            known[w] = b"".join([self.cores[c] for c in own])
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        for w in words:
+            if w not in known:
+                known[w] = self.word(w.decode())
         return b"".join([known[w] for w in words])
 
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, ...]:
-        """Pieces that are encoded alike alone and together: the case of ASCII words doesn't count (before an accent of its own
-        it would), and a token never joins a letter and the marks after it."""
-        low = word.lower() if word.isascii() else word
-        if (m := _CLOSING.search(low)) and m.start() and (low[m.start() - 1 : m.start()].isalpha() or low[m.start() - 1] > 127 and unicodedata.normalize("NFC", low[: m.start()].decode()).lower()[-1].isalpha()):
-            return low[: m.start()], m[0]
-        return (low,)
-
-    def encode(self, cores: list[bytes]) -> None:
-        new = [c for c in dict.fromkeys(cores) if c not in self.cores]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.whole.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.cores[c] = np.array(e.ids, "<u4").tobytes()
+    def word(self, word: str) -> bytes:
+        if not _LATIN.fullmatch(word):
+            return _packed(self.whole.encode(word, add_special_tokens=False).ids)
+        out, known = [], self.pieces
+        for p in _PIECE.findall(word.lower()):
+            ids = known.get(p)
+            if ids is None:
+                shown = p if p.isascii() else p.encode().decode("latin-1").translate(_CHARS)
+                ids = known[p] = _packed([t.id for t in self.model.tokenize(shown)])
+            out.append(ids)
+        return b"".join(out)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def minimum_bin_slack(counts: dict[int, int], size: int) -> list[tuple[list[tuple[int, int]], int]]:

@@ -167,6 +167,18 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), tokenizer_file()).count() == 0
 
 
+def test_word_tokens_are_the_tokenizers():
+    """Taking words apart gives the ids of whole texts, with any characters."""
+    words = packing.WordTokens(tokenizer_file())
+    assert words.by_words
+    rng = random.Random(5)
+    pool = "abzAZ'stdvm.,_-|<>0129 \t\n\r\x0b\x1c\x85\xa0\xadéÉç\xb5\xaa²½İıǅſΣςç\u0301\u0307中文한\ufb01\u3000\ufeff\U0001f600\u212b\u212a"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    texts += ["<|ENDOFTEXT|>x", "<|endoftext|>", "don't WE'LL I'M 'Sample", *("q" + chr(c) + "Q7" for c in range(0x250))]
+    for t in texts:
+        assert words.ids(t) == np.array(words.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 def test_bin_slack_is_tight():
     assert sum(t for _, t in packing.minimum_bin_slack({6: 4, 4: 4, 5: 4, 10: 2, 1: 1}, 10)) == 9
 
