@@ -6,7 +6,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import staged
 
 END_ID = 1
-#: White-space words, and pieces of words, whose ids a Python worker keeps at most; then it starts anew.
-CACHE_WORDS, CACHE_PIECES = 400_000, 900_000
+#: White-space words, and pieces of words, that a generation of a worker's cache holds, and their bytes or characters at most.
+CACHE_WORDS, CACHE_PIECES, CACHE_LENGTH = 100_000, 200_000, 64
 #: How the tokenizers that are taken apart here normalize and split. Any other kind encodes whole texts.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -32,6 +32,25 @@ _CHARS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SH
 _CACHE: dict[str, WordTokens] = {}
 
 
+class Recent(dict):
+    """``make(key)`` of what was asked for lately: ``most`` keys become the old generation, and those used again move on."""
+
+    def __init__(self, most: int, make: Callable):
+        super().__init__()
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHE_LENGTH:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordTokens:
     """Ids of whole texts; each distinct piece of a word is merged once a worker where the tokenizer splits as ``_SPLIT`` does."""
 
@@ -41,8 +60,7 @@ class WordTokens:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.specials = tuple(t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values())
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(CACHE_WORDS, self.word), Recent(CACHE_PIECES, self.piece)
         own = json.loads(self.whole.to_str())
         kinds = [x["type"] for x in (own["normalizer"] or {}).get("normalizers", ())]
         split, *rest = (own["pre_tokenizer"] or {}).get("pretokenizers", [None])
@@ -64,30 +82,18 @@ class WordTokens:
         # a letter and a combining accent (bytes CC and CD) are joined before the case is folded
         words = (raw if b"\xcc" in raw or b"\xcd" in raw else low).split()  # at ASCII white space only
         known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self.word(w.decode())
         return b"".join([known[w] for w in words])
 
-    def word(self, word: str) -> bytes:
+    def word(self, raw: bytes) -> bytes:
+        word = raw.decode()
         if not _LATIN.fullmatch(word):
             return _packed(self.whole.encode(word, add_special_tokens=False).ids)
-        out, known = [], self.pieces
-        for p in _PIECE.findall(word.lower()):
-            ids = known.get(p)
-            if ids is None:
-                shown = p if p.isascii() else p.encode().decode("latin-1").translate(_CHARS)
-                ids = known[p] = _packed([t.id for t in self.model.tokenize(shown)])
-            out.append(ids)
-        return b"".join(out)
+        known = self.pieces
+        return b"".join([known[p] for p in _PIECE.findall(word.lower())])
+
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_CHARS)
+        return _packed([t.id for t in self.model.tokenize(shown)])
 
 
 def _packed(ids: list[int]) -> bytes:

@@ -323,3 +323,19 @@ def test_pipeline(spark, tmp_path):
     parts = brute_components([texts[i] for i in unique])
     want = {unique[i] for i, (_, c) in parts.items() if c == i}
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
+
+
+def test_recent_words_are_bounded_and_made_again_when_forgotten():
+    asked = []
+
+    def make(key):
+        asked.append(key)
+        return key.upper()
+
+    known = packing.Recent(2, make)
+    assert [known[k] for k in "abab"] == list("ABAB") and asked == ["a", "b"]
+    assert known["c"] == "C" and known["a"] == "A" and asked == ["a", "b", "c"]  # of the old generation
+    assert [known[k] for k in "def"] == list("DEF") and len(known) <= 2 and len(known.old) <= 2
+    assert known["b"] == "B" and asked.count("b") == 2
+    long = "x" * (packing.CACHE_LENGTH + 1)
+    assert known[long] == long.upper() and long not in known
