@@ -19,7 +19,7 @@ from millrace.llm.common import staged
 
 END_ID = 1
 #: White-space words, and pieces of words, that a generation of a worker's cache holds, and their bytes or characters at most.
-CACHE_WORDS, CACHE_PIECES, CACHE_LENGTH = 100_000, 200_000, 64
+CACHE_WORDS, CACHE_PIECES, CACHE_LENGTH = 150_000, 300_000, 64
 #: How the tokenizers that are taken apart here normalize and split. Any other kind encodes whole texts.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
