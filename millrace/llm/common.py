@@ -34,14 +34,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_rid(df: DataFrame) -> DataFrame:
-    """Adds a row key.
+    """Adds a row key, for use within one job.
 
-    It is a function of the file splits, so it is stable for a stored table that is scanned through this one
-    DataFrame; for a plan whose row order may change between runs, stage the input first.
+    It is a function of the file splits, which change with the cores that are registered when a scan is planned: a
+    later job may number the same rows otherwise. Keys that more than one job uses come from ``keyed``.
     """
     return df.withColumn(RID, F.monotonically_increasing_id())
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a row key, staged: the key is made once, and all later scans read it."""
+    return staged(with_rid(df), name)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row (a projection would be inlined into every use)."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import RID, misra_gries, staged, with_rid
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
 def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", counters: int = 1024, min_heavy: int = 8) -> DataFrame:
     """One row for each row of ``df``: ``__rid, doc_id, keep_id, group_size, kept, digest`` (32 bytes).
 
@@ -19,7 +23,7 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", count
     any other digest has at most 1/(counters+1) of the rows.
     """
     d = staged(
-        with_rid(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select(RID, "doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")),
+        with_rid(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select(RID, "doc_id", _digest("text").alias("digest")),
         "digests",
     )
     d = d.withColumn("head", F.xxhash64("digest"))
@@ -36,6 +40,20 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", count
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that stay, with their columns."""
-    kept = exact_dedup(df, text, doc_id).where("kept").select(RID)
-    return with_rid(df).join(kept, RID, "left_semi").drop(RID)
+    """The rows of ``df`` that stay, with their columns.
+
+    They are found again by id and digest, not by a row key: the scan of ``df`` here may be split otherwise than the
+    first. Where several rows have the winner's id and text, one of them is taken by an aggregate.
+    """
+    of_winner = exact_dedup(df, text, doc_id).where("doc_id <=> keep_id")
+    winners = staged(of_winner.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count("*").alias("__n")), "kept")
+
+    def rows(some: DataFrame) -> DataFrame:
+        d = df.withColumn("__sha", _digest(text))
+        return d.join(some, (d["__sha"] == some["__digest"]) & d[doc_id].eqNullSafe(some["__id"]), "left_semi")
+
+    kept = rows(winners.where("__n = 1"))
+    again = winners.where("__n > 1")
+    if not again.isEmpty():
+        kept = kept.unionByName(rows(again).dropDuplicates([doc_id, "__sha"]))
+    return kept.drop("__sha")

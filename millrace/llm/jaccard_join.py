@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RID, shingle_hashes, staged, with_rid, word_hashes
+from millrace.llm.common import RID, keyed, shingle_hashes, staged, word_hashes
 from millrace.llm.components import components
 
 #: A link needs NUM / DEN of the union.
@@ -261,7 +261,11 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     ``first`` marks one row of each component, that with the smallest id (of rows that repeat an id, one). Rows that
     repeat a text are in one component. Very long texts are used whole; other columns are not read; no rows give none.
     """
-    base = with_rid(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    return _components(keyed(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "keyed"), lower)
+
+
+def _components(base: DataFrame, lower: bool) -> DataFrame:
+    """``jaccard_components`` of ``__rid, doc_id, text``, a staged table: it is scanned by several jobs."""
     light = _sets(base, "text", RID, lower, np.empty(0, np.uint64), False)
     signed = staged(light, "signatures")
     ids = base.select(RID, "doc_id")
@@ -290,5 +294,6 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that are first in their component, with their columns."""
-    first = jaccard_components(df, text, doc_id).where("first").select(RID)
-    return with_rid(df).join(first, RID, "left_semi").drop(RID)
+    base = keyed(df, "keyed")
+    first = _components(base.select(RID, F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), True).where("first").select(RID)
+    return base.join(first, RID, "left_semi").drop(RID)

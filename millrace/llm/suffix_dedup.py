@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RID, Rolling, mix64, staged, with_rid
+from millrace.llm.common import RID, Rolling, keyed, mix64, staged
 from millrace.llm.suffix_array import suffix_array
 
 #: Bytes of the hashed string that ranks a place, and the places of which the least is an anchor.
@@ -216,9 +216,13 @@ def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     What is shuffled: 40 bytes for each anchor (one in about 128 bytes), the texts once, and the bytes around
     those anchors whose context is not repeated as a whole. Copies are counted by partial aggregates.
     """
+    return _spans(keyed(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "keyed"), length)
+
+
+def _spans(base: DataFrame, length: int) -> DataFrame:
+    """``repeated_spans`` of ``__rid, doc_id, text``, a staged table: it is scanned by several jobs."""
     if length <= SPREAD + GRAM:
         raise ValueError(f"length must be over {SPREAD + GRAM}")
-    base = with_rid(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     found = staged(base.select(RID, "text").mapInArrow(_emit_anchors(length), f"{RID} long, place int, head long, context long, left int, right int"), "anchors")
     twice = found.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
     found = staged(found.join(twice, "head", "left_semi"), "twice")
@@ -250,7 +254,8 @@ def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
 
 def without_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400) -> DataFrame:
     """``df`` with the spans cut out of its texts; bytes that no longer make a character are dropped."""
-    spans = repeated_spans(df, text, doc_id, length).where("n_removed > 0").select(RID, "spans")
+    d = keyed(df, "keyed")
+    spans = _spans(d.select(RID, F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), length).where("n_removed > 0").select(RID, "spans")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -263,6 +268,5 @@ def without_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
                 out.append((b"".join(parts) + raw[at:]).decode("utf-8", "ignore") if own is not None else t)
             yield pd.DataFrame({RID: b[RID], "__text": out})
 
-    d = with_rid(df)
     new = d.select(RID, F.col(text).alias("t")).join(spans, RID).mapInPandas(cut, f"{RID} long, __text string")
     return d.join(new, RID, "left").withColumn(text, F.coalesce("__text", text)).select(*df.columns)

@@ -3,6 +3,7 @@ empty tables and clashing columns."""
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from millrace.llm import cotraining, exact_dedup, html_text, jaccard_join, mixing, packing, quality_rules, sharding, suffix_dedup, url_filter
+from millrace.llm import common, cotraining, exact_dedup, html_text, jaccard_join, mixing, packing, quality_rules, sharding, suffix_dedup, url_filter
 from millrace.llm.queries import RULES, tokenizer_file
 from millrace.llm.suffix_array import suffix_array
 
@@ -55,6 +56,60 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+@pytest.fixture
+def moving_splits(spark, monkeypatch):
+    """File splits that differ from job to job, as they do when executors are lost or register late."""
+    turn = itertools.count()
+
+    def move():
+        spark.conf.set("spark.sql.files.minPartitionNum", 1 + 3 * next(turn))
+
+    for module in (common, exact_dedup, jaccard_join, suffix_dedup):
+        monkeypatch.setattr(module, "staged", lambda df, name, f=common.staged: (f(df, name), move())[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    move()
+    yield
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def in_files(spark, path, texts):
+    d = frame(spark, texts)
+    d.repartition(7, "doc_id").write.parquet(str(path))
+    return spark.read.schema(d.schema).parquet(str(path))
+
+
+def test_exact_dedup_when_splits_move(spark, tmp_path, moving_splits):
+    texts = sample() + ["one two"] * 40
+    last = {t or "": i for i, t in enumerate(texts)}
+    d = in_files(spark, tmp_path / "d", texts)
+    assert sorted(r.doc_id for r in exact_dedup.keep_one(d).collect()) == sorted(last.values())
+    twice = exact_dedup.keep_one(d.unionByName(d))
+    assert sorted(r.doc_id for r in twice.collect()) == sorted(last.values()) and twice.columns == d.columns
+
+
+def test_jaccard_when_splits_move(spark, tmp_path, moving_splits):
+    texts = sample(2)
+    want = brute_components(texts)
+    d = in_files(spark, tmp_path / "d", texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(d).collect()}
+    assert got == want
+    assert sorted(r.doc_id for r in jaccard_join.keep_first(d).collect()) == sorted(i for i, (_, c) in want.items() if c == i)
+
+
+def test_suffix_dedup_when_splits_move(spark, tmp_path, moving_splits):
+    r = random.Random(5)
+    line = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = line(500)
+    texts = [line(50 + 10 * i) + (f"{i:02}{shared}" if i % 3 == 0 else "") for i in range(30)]
+    d = in_files(spark, tmp_path / "d", texts)
+    got = {x.doc_id: x for x in suffix_dedup.repeated_spans(d).collect()}
+    for i, t in enumerate(texts):
+        own = t.removesuffix(shared)
+        assert (got[i].n_bytes, got[i].kept_sha256) == (len(t), hashlib.sha256(own.encode()).hexdigest())
+    assert {x.doc_id: x.text for x in suffix_dedup.without_repeats(d).collect()} == {i: t.removesuffix(shared) for i, t in enumerate(texts)}
+
+
 def brute_components(texts):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
