@@ -25,13 +25,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix: any run of files holds the sources in their target weights."""
-    return mixing.in_mixed_order(docs, WEIGHTS)
+    """All documents with their ``mix_position``: read by it, the sources come in their target weights."""
+    return mixing.in_mixed_order(docs, WEIGHTS, position=True)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document, with its sequence and its place there."""
-    return packing.pack(docs, tokenizer_file())
+    """One row for each piece of a document, with its sequence and its place there; sequences follow the mix."""
+    return packing.pack_in_order(docs, tokenizer_file(), "mix_position")
 
 
 STAGES = [

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import staged
 
 END_ID = 1
+#: Positions of the order that are packed together by ``pack_in_order``: ten periods of a mix of 25 blocks of 16 documents.
+WINDOW = 4096
 #: White-space words, and pieces of words, that a generation of a worker's cache holds, and their bytes or characters at most.
 CACHE_WORDS, CACHE_PIECES, CACHE_LENGTH = 150_000, 300_000, 64
 #: How the tokenizers that are taken apart here normalize and split. Any other kind encodes whole texts.
@@ -139,27 +141,31 @@ def minimum_bin_slack(counts: dict[int, int], size: int) -> list[tuple[list[tupl
     return out
 
 
-def token_pieces(df: DataFrame, tokenizer: str, text: str, doc_id: str, size: int) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, part, nth``: ``nth`` counts the pieces of a length in a task's output."""
+def token_pieces(df: DataFrame, tokenizer: str, text: str, doc_id: str, size: int, order: str | None = None) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, part, nth``: ``nth`` counts the pieces of a length in a task's output.
+
+    With ``order``, a column of that kind of position, ``nth`` is its value instead.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, part = WordTokens.at(tokenizer), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         end = END_ID.to_bytes(4, "little")
         for b in batches:
             docs, texts = b.column(0).to_pylist(), b.column(1)
+            at_order = b.column(2).to_pylist() if order else None
             out: list[tuple] = []
             for i, doc in enumerate(docs):
                 ids = words.ids(texts[i].as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[at : at + 4 * size]
                     n = len(own) // 4
-                    out.append((doc, piece, at // 4, n, zlib.crc32(own), part, int(seen[n])))
+                    out.append((doc, piece, at // 4, n, zlib.crc32(own), part, at_order[i] if order else int(seen[n])))
                     seen[n] += 1
             columns = list(zip(*out, strict=True)) or [[]] * 7
             kinds = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).cast("long").alias("order") for c in [order] if c])
     kind = d.schema["doc_id"].dataType.simpleString()
     return d.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
@@ -209,3 +215,49 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
     kind = pieces.schema["doc_id"].dataType.simpleString()
     ready = pieces.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "base")
     return ready.mapInPandas(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def _packed_window(b: pd.DataFrame, size: int) -> pd.DataFrame:
+    """``b``'s pieces with ``own``, the sequence's number in this window, and ``offset``.
+
+    Pieces of a length are dealt by position, and sequences are numbered by the position of their longest piece.
+    """
+    b = b.sort_values(["nth", "piece", "doc_id", "ids_crc32"], ignore_index=True)
+    length, place = b["length"].to_numpy(), b["nth"].to_numpy()
+    left = {int(k): iter(np.flatnonzero(length == k)) for k in np.unique(length)}
+    seq, off, leader, n = np.empty(len(b), np.int64), np.empty(len(b), np.int64), [], 0
+    for filling, times in minimum_bin_slack({int(k): int(c) for k, c in zip(*np.unique(length, return_counts=True), strict=True)}, size):
+        for _ in range(times):
+            at = 0
+            for k, copies in filling:
+                for _ in range(copies):
+                    i = next(left[k])
+                    if at == 0:
+                        leader.append(place[i])
+                    seq[i], off[i] = n, at
+                    at += k
+            n += 1
+    number = np.empty(n, np.int64)
+    number[np.argsort(np.array(leader), kind="stable")] = np.arange(n)
+    return b.assign(own=number[seq], offset=off)
+
+
+def pack_in_order(df: DataFrame, tokenizer: str, order: str, text: str = "text", doc_id: str = "doc_id", size: int = 4096) -> DataFrame:
+    """``pack`` with sequences that follow ``order``, a column of distinct non-negative positions (as ``mix_position``).
+
+    Each ``WINDOW`` positions are packed by themselves, and the sequences of a window come before those of the next: any
+    run of windows' sequences holds the documents, and so the sources, of that run of positions. A window costs at
+    most one sequence that is not full for want of pieces.
+
+    A task holds the lengths of one window; its size doesn't depend on the number of rows. The number of sequences of each window
+    is summed up in one task: one row for ``WINDOW`` documents.
+    """
+    pieces = token_pieces(df, tokenizer, text, doc_id, size, order).withColumn("window", F.expr(f"nth div {WINDOW}")).drop("part")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    packed = pieces.groupBy("window").applyInPandas(lambda b: _packed_window(b, size), f"{kinds}, own long, offset long")
+    packed = staged(packed, "packed")
+    counts = packed.groupBy("window").agg((F.max("own") + 1).alias("n"))
+    before = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ready = packed.join(F.broadcast(base), "window").withColumn("sequence_id", F.col("own") + F.col("base"))
+    return ready.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

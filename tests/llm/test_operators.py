@@ -380,6 +380,36 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
 
 
+def test_pipeline_keeps_the_mix(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "WINDOW", 128)
+    r = random.Random(8)
+    # the weights are 5 : 1 : 1 : 1; src0 has a third of the rows and longer texts
+    sources = ["src0" if i % 3 == 0 else f"s{i % 3}{i % 2}" if i % 3 == 1 else "s9" for i in range(1200)]
+    texts = [" ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(r.randint(150, 250) if s == "src0" else r.randint(10, 100))) for s in sources]
+    d = spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate(zip(texts, sources, strict=True))], "doc_id long, text string, lang string, source string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len({r.doc_id for r in rows}) == len(rows) == 1200
+    bins = collections.defaultdict(list)
+    for x in rows:
+        bins[x.sequence_id].append(x)
+    assert sorted(bins) == list(range(len(bins)))
+    for b in bins.values():
+        b.sort(key=lambda x: x.offset)
+        assert [x.offset for x in b] == [sum(y.length for y in b[:i]) for i in range(len(b))] and sum(x.length for x in b) <= 4096
+    # a window is 8 blocks of 16: one period of the mix, five of them src0's as long as it lasts (400 rows: five windows)
+    window, left = [], 5
+    for k in sorted(bins):
+        window += [sources[x.doc_id] for x in bins[k]]
+        if len(window) >= 128 and left:
+            assert len(window) == 128 and window.count("src0") == 80
+            window, left = [], left - 1
+    assert left == 0
+
+
 def test_recent_words_are_bounded_and_made_again_when_forgotten():
     asked = []
 
