@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,40 +12,97 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RID = "__rid"
 #: First-level Misra-Gries summaries are merged in this many tasks before the driver merges those.
 MERGE_TASKS = 16
+#: Keys that are broadcast by a join for their many rows, and keys (of 16 bytes) by which a table is narrowed, at most.
+HEAVY, FEW_KEYS = 4096, 2_000_000
+#: Rows of two longs that are broadcast, at most (about 50 MB).
+FEW_ROWS = 500_000
+_FOLDERS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a private one where it is unset (tests)."""
+    """This application's folder in the one that driver and executors share, ``spark.checkpoint.dir``; it goes when the driver ends.
+
+    Where that is unset, a local master (as in tests) gets a private folder; on a cluster it is an error, as executors
+    would each write to a disk of their own.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    path = f"{path.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        _FOLDERS.add(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back: later reads survive lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_rid(df: DataFrame) -> DataFrame:
-    """Adds a row key, for use within one job.
+def unstage(df: DataFrame) -> None:
+    """Deletes the files of a staged table that no later job reads."""
+    for name in df.inputFiles()[:1]:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def row_key(doc_id: str, text: str) -> list[Column]:
+    """``k1, k2``: 128 bits that follow from a row's id and text alone, so every scan gives a row the same key, however it is
+    split. Rows that repeat both share a key."""
+    return [F.xxhash64(F.col(doc_id), F.col(text)).alias("k1"), F.xxhash64(F.lit(1), F.col(text), F.col(doc_id)).alias("k2")]
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (``how``: inner or left), a staged table that tells in ``n`` how many rows of ``left`` have its key.
 
-    It is a function of the file splits, which change with the cores that are registered when a scan is planned: a
-    later job may number the same rows otherwise. Keys that more than one job uses come from ``keyed``.
+    Keys with over 1 in ``HEAVY`` of those rows (so ``HEAVY`` at most) are broadcast, and only the others are shuffled: no key's
+    rows meet in one task.
     """
-    return df.withColumn(RID, F.monotonically_increasing_id())
+    total = right.agg(F.sum(n)).first()[0] or 0
+    heavy = F.col(n) * HEAVY > total
+    many = F.broadcast(right.where(heavy))
+    rest = left.join(many.select(*on), on, "left_anti").join(right.where(~heavy), on, how)
+    return left.join(many, on).unionByName(rest)
 
 
-def keyed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a row key, staged: the key is made once, and all later scans read it."""
-    return staged(with_rid(df), name)
+def narrowed(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` without the rows whose ``key`` (a long) is not in ``keys``, where those are few enough to be told to every task.
+
+    A join follows in any case: beyond ``FEW_KEYS`` it gets all rows.
+    """
+    keys = keys.select(key).distinct()
+    return df.join(F.broadcast(keys), key, "left_semi") if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS else df
+
+
+def keep_rows(df: DataFrame, decided: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``df`` whose ``k1, k2`` are kept in ``decided`` (staged: ``k1, k2, kept, once``); of rows that repeat one of those
+    and have ``once``, one.
+
+    Where the dropped keys are few enough to be told to every task, no text is shuffled.
+    """
+    key = ["__k1", "__k2"]
+    by_key = decided.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.max("kept").alias("kept"), F.max("once").alias("once"), F.count("*").alias("n"))
+    odd = staged(by_key.where("not kept or once and n > 1"), "odd")
+    drop, again = odd.where("not kept").select(*key), odd.where("kept").select(*key)
+    few = lambda d: F.broadcast(d) if d.limit(FEW_ROWS + 1).count() <= FEW_ROWS else d
+    k1, k2 = row_key(doc_id, text)
+    rows = df.withColumns({"__k1": k1, "__k2": k2}).join(few(drop), key, "left_anti")
+    if not again.isEmpty():
+        again = few(again)
+        rows = rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates(key))
+    return rows.drop(*key)
 
 
 def let(value: Column, body) -> Column:

@@ -2,7 +2,8 @@
 
 1. Every text becomes a sorted set of 64-bit shingle hashes; equal sets form one class with one representative.
 2. A representative's signature is its first shingles in an order that puts common ones last. Signatures that share
-   enough shingles make candidate links; their components bound which sets can be linked at all.
+   enough shingles make candidate links; their components bound which sets can be linked at all. ``exact`` takes
+   signatures of the full length that linked sets need; else they stop where a miss is less likely than two equal hashes.
 3. The sets of a candidate component meet once. There an index keeps, for each shingle, blocks of (size, position); blocks
    whose position leaves too little overlap are skipped, and a set that is highly similar to an earlier one takes its
    overlaps from that one's, corrected by the few shingles in which the two differ.
@@ -19,23 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RID, keyed, shingle_hashes, staged, word_hashes
+from millrace.llm.common import join_counted, keep_rows, mix64, row_key, shingle_hashes, staged, unstage, word_hashes
 from millrace.llm.components import components
 
 #: A link needs NUM / DEN of the union.
 NUM, DEN = 3, 4
+KEY = ["k1", "k2"]
 #: Shingles in so many signatures come last in the order; lists of up to this length give all pairs.
 COMMON = 32
-#: Common shingles that are told to all tasks, at most; any others stay in the order of their hashes.
-MOST_COMMON = 1 << 17
+#: Times that signatures are made anew, at most, to be rid of common shingles; any that stay only cost time.
+ROUNDS = 3
 #: Shared shingles of two signatures that make a candidate.
 SHARED = 3
 #: Odds of a missed candidate, far below those of two equal 64-bit hashes.
 MISS = 1e-20
-#: Bits of the filter by which tasks keep the sets that are wanted; a join follows, so a full filter only costs time.
+#: Bits of the filters by which tasks know wanted rows and common shingles; full ones only cost time.
 FILTER_BITS = 1 << 26
-#: Hashes that one verification task holds, about; larger components are verified in pairs of blocks.
-BLOCK = 1_500_000
+#: Hashes and sets that one verification task holds, about; larger components are verified in pairs of blocks.
+BLOCK, BLOCK_SETS = 1_500_000, 1_000
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
@@ -66,27 +68,26 @@ def _limits() -> list[int]:
 LIMITS = _limits()
 
 
-def signature(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+def signature(tokens: np.ndarray, is_common: np.ndarray, exact: bool) -> np.ndarray:
     """The shingles, of a sorted set, by which it is found: in order of hash, common ones last.
 
-    Two linked sets share ``SHARED`` of the first ``size - least overlap + SHARED`` shingles of each. In an order that is
-    random to the sets, far fewer do: of the union's first ``n`` each is shared with odds of 3/4 (less what the
-    common ones may take), so ``LIMITS`` cuts where a miss is less likely than two equal hashes.
+    Two linked sets share ``SHARED`` of the first ``size - least overlap + SHARED`` shingles of each; ``exact`` takes all
+    those. In an order that is random to the sets, far fewer do: of the union's first ``n`` each is shared with odds of 3/4
+    (less what the common ones may take, and one step of the table for those not yet known), so ``LIMITS`` cuts where a
+    miss is less likely than two equal hashes.
     """
     n = len(tokens)
     need = -(-NUM * n // DEN)
-    whole = n - need + min(SHARED, need)
-    at = np.searchsorted(common, tokens)
-    is_common = common[np.minimum(at, len(common) - 1)] == tokens if len(common) else np.zeros(n, bool)
-    share = int(np.ceil(20 * is_common.sum() / n))
-    take = min(whole, LIMITS[share])
+    take = n - need + min(SHARED, need)
+    if not exact:
+        take = min(take, LIMITS[min(20, int(np.ceil(20 * is_common.sum() / n)) + 1)])
     rare = tokens[~is_common]
     return rare[:take] if len(rare) >= take else np.concatenate([rare, tokens[is_common][: take - len(rare)]])
 
 
 def _filter(keys: DataFrame, key: str) -> np.ndarray:
     """``FILTER_BITS`` bits as bytes, whatever the number of keys: made by partial aggregates of 4 KB each."""
-    place = F.pmod(F.col(key) + F.shiftright(F.col(key), 33) * 1_000_003, F.lit(FILTER_BITS)) + 1
+    place = F.col(key).bitwiseXOR(F.shiftright(F.col(key), 33)).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
     parts = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:
@@ -94,36 +95,50 @@ def _filter(keys: DataFrame, key: str) -> np.ndarray:
     return out
 
 
-def _may_have(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    p = (key + (key >> 33) * 1_000_003) % FILTER_BITS
+def _may_have(bits: np.ndarray | None, key: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.zeros(len(key), bool)
+    p = (key ^ (key >> 33)) & (FILTER_BITS - 1)
     return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
 
-def _sets(df: DataFrame, text: str, key: str, lower: bool, common: np.ndarray, whole: bool, only: np.ndarray | None = None) -> DataFrame:
-    """``key, n_shingles, hi, lo, tokens``: two hashes of the whole set, and the signature or the set itself.
+def _sets(df: DataFrame, keep: list[str], lower: bool, exact: bool = False, common: np.ndarray | None = None, only: np.ndarray | None = None, whole: bool = False) -> DataFrame:
+    """Of ``k1, k2, text`` rows: ``keep`` columns, ``n, hi, lo, tokens``: two hashes of the whole set, and the signature or, if ``whole``,
+    the set itself.
 
-    ``only``: a filter; rows whose key it can't have are left out before their text is read.
+    ``only``: a filter; rows whose ``k1`` it can't have are left out before their text is read, and a task gives a row that
+    is repeated there once.
     """
-    held, wanted = df.sparkSession.sparkContext.broadcast(common), df.sparkSession.sparkContext.broadcast(only)
+    held = df.sparkSession.sparkContext.broadcast((common, only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from millrace.llm.common import mix64
-
+        common, only = held.value
+        seen: set[int] = set()
         for b in batches:
-            if wanted.value is not None:
-                b = b.filter(pa.array(_may_have(wanted.value, b.column(0).to_numpy())))
+            if only is not None:
+                k1 = b.column("k1").to_numpy()
+                first = np.zeros(len(k1), bool)
+                first[np.unique(k1, return_index=True)[1]] = True
+                first &= _may_have(only, k1)
+                for i in np.flatnonzero(first):
+                    first[i] = (k := int(k1[i])) not in seen
+                    seen.add(k)
+                b = b.filter(pa.array(first))
             n, hi, lo, out = [], [], [], []
-            for t in b.column(1):
+            for t in b.column("text"):
                 s = shingle_hashes(word_hashes(t.as_py(), lower))
                 n.append(len(s))
                 hi.append(int(np.bitwise_xor.reduce(mix64(s + np.uint64(1)))) - (1 << 63) if len(s) else 0)
                 lo.append(int(mix64(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)) - (1 << 63) if len(s) else 0)
-                out.append((s if whole else signature(s, held.value)).view(np.int64) if len(s) else np.empty(0, np.int64))
+                if len(s) and not whole:
+                    s = signature(s, _may_have(common, s.view(np.int64)), exact)
+                out.append(s.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             flat = pa.array(np.concatenate(out) if out else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["key", "n_shingles", "hi", "lo", "tokens"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], [*keep, "n", "hi", "lo", "tokens"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_shingles long, hi long, lo long, tokens array<long>")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    return df.select(*dict.fromkeys([*keep, "k1", "text"])).mapInArrow(run, f"{kinds}, n long, hi long, lo long, tokens array<long>")
 
 
 def link_sets(keys: list[int], sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[int, int]]:
@@ -208,7 +223,7 @@ def _hits(a: np.ndarray, b: np.ndarray) -> int:
 
 def _candidates(signatures: DataFrame) -> DataFrame:
     """``a, b`` of representatives whose signatures share enough; long lists give a star instead of pairs."""
-    e = signatures.select("rep", F.col("n_shingles").alias("n"), F.explode("tokens").alias("t"))
+    e = signatures.select("rep", "n", F.explode("tokens").alias("t"))
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -225,21 +240,14 @@ def _candidates(signatures: DataFrame) -> DataFrame:
             cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
             yield pd.DataFrame({"a": cat(rows_a), "b": cat(rows_b), "need": cat(w).astype(np.int32)})
 
-    lists = e.groupBy("t").agg(F.count("*").alias("c"), F.min("rep").alias("m")).where("c > 1")
-    e = staged(e.join(lists, "t"), "lists")
+    lists = staged(e.groupBy("t").agg(F.count("*").alias("c"), F.min("rep").alias("m")).where("c > 1"), "lists")
+    e = staged(join_counted(e, lists, ["t"], "c"), "entries")
     star = e.where(F.col("c") > COMMON).where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b")).distinct()
     short = e.where(F.col("c") <= COMMON).groupBy("t").agg(F.collect_list("rep").alias("reps"), F.collect_list("n").alias("sizes"))
     near = short.select("reps", "sizes").mapInPandas(pairs, "a long, b long, need int").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need")
     return star.unionByName(near.select("a", "b"))
 
 
-def _common(signatures: DataFrame) -> np.ndarray:
-    """The most frequent shingles of the signatures that have over ``COMMON``; ``MOST_COMMON`` at most."""
-    c = signatures.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
-    top = c.orderBy(F.desc("c"), "t").limit(MOST_COMMON).select("t")
-    return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
-
-
 def _verify(sets: DataFrame) -> DataFrame:
     """``rep, group, parts, part, tokens`` to links ``a, b``: one task a group, or one for each pair of its parts."""
 
@@ -253,47 +261,78 @@ def _verify(sets: DataFrame) -> DataFrame:
     return sets.withColumn("cell", F.explode(other)).select("rep", "tokens", "part", "group", "cell.*").groupBy("group", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lower: bool = True) -> DataFrame:
-    """One row for each row of ``df``: ``__rid, doc_id, n_shingles, component_id, first``.
+def _signatures(base: DataFrame, reps: DataFrame, lower: bool, exact: bool) -> DataFrame:
+    """``rep, n, tokens``: signatures with common shingles last, as far as ``ROUNDS`` bring it.
 
-    ``component_id``: the smallest id that can be reached over links, the row's own included. A text without words (or
-    null) has an empty set and links to nothing. Null ids rank above all others: a component of nothing else has a null id.
-    ``first`` marks one row of each component, that with the smallest id (of rows that repeat an id, one). Rows that
-    repeat a text are in one component. Very long texts are used whole; other columns are not read; no rows give none.
+    A shingle is common if over ``COMMON`` signatures have it. A round makes the signatures anew of which one has such a
+    shingle (the first round: all); the others stay as they are, as theirs come first in the new order too.
     """
-    return _components(keyed(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "keyed"), lower)
-
-
-def _components(base: DataFrame, lower: bool) -> DataFrame:
-    """``jaccard_components`` of ``__rid, doc_id, text``, a staged table: it is scanned by several jobs."""
-    light = _sets(base, "text", RID, lower, np.empty(0, np.uint64), False)
-    signed = staged(light, "signatures")
-    ids = base.select(RID, "doc_id")
-    reps = staged(signed.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min(F.struct("key", "tokens")).alias("x")).select("hi", "lo", "n_shingles", F.col("x.key").alias("rep"), F.col("x.tokens").alias("tokens")), "classes")
-    common = _common(reps)
-    if len(common):
-        # a second pass over the whole texts, with the common shingles last
-        new = _sets(base, "text", RID, lower, common, False).select(F.col("key").alias("rep"), "n_shingles", "tokens")
-        signatures = staged(new.join(reps.select("rep"), "rep", "left_semi"), "signatures")
-    else:
-        signatures = reps.select("rep", "n_shingles", "tokens")
+    now, common = reps.select("rep", "n", "tokens"), None
+    for turn in range(ROUNDS):
+        long = now.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
+        more = _filter(long, "t")
+        fresh = more if common is None else more & ~common
+        if not fresh.any():
+            break
+        common = more if common is None else common | more
+        keys = reps.select("rep", *KEY)
+        if turn:
+            held = base.sparkSession.sparkContext.broadcast(fresh)
+
+            def has_fresh(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    lists = b.column("tokens")
+                    hit = np.concatenate([[0], np.cumsum(_may_have(held.value, lists.flatten().to_numpy()))])
+                    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                    yield b.filter(pa.array(hit[ends[1:]] > hit[ends[:-1]])).select(["rep"])
+
+            keys = keys.join(staged(now.mapInArrow(has_fresh, "rep long"), "again"), "rep")
+        keys = staged(keys, "wanted")
+        made = _sets(base, KEY, lower, exact, common, _filter(keys, "k1")).join(keys, KEY).select("rep", "n", "tokens")
+        now = staged(made if not turn else now.join(keys, "rep", "left_anti").unionByName(made), "signatures")
+    return now
+
+
+def _components(df: DataFrame, text: str, doc_id: str, lower: bool, exact: bool) -> DataFrame:
+    """``k1, k2, doc_id, n, component_id, root, least`` for each row: ``least`` has the key of the component's first row."""
+    base = df.select(*row_key(doc_id, text), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    signed = staged(_sets(base, [*KEY, "doc_id"], lower, exact), "signed")
+    classes = signed.where("n > 0").groupBy("hi", "lo", "n").agg(F.min(F.struct(*KEY, "tokens")).alias("x"), F.count("*").alias("rows"))
+    reps = staged(classes.select("hi", "lo", "n", "rows", "x.*").withColumn("rep", F.monotonically_increasing_id()), "classes")  # made once, then read
+    signatures = _signatures(base, reps, lower, exact)
     groups = staged(components(_candidates(signatures)).select(F.col("node").alias("rep"), F.col("component").alias("group")), "groups")
-    sized = groups.join(reps.select("rep", "n_shingles"), "rep")
-    parts = sized.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("parts"))
-    placed = groups.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    full = _sets(base, "text", RID, lower, np.empty(0, np.uint64), True, _filter(groups, "rep")).select(F.col("key").alias("rep"), "tokens")
-    links = staged(_verify(full.join(placed, "rep")), "found")
+    sized = groups.join(reps.select("rep", "n", *KEY), "rep")
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+    parts = staged(sized.groupBy("group").agg(blocks.alias("parts"), F.count("*").alias("sets")), "parts")
+    placed = staged(join_counted(sized.drop("n"), parts, ["group"], "sets").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "placed")
+    full = _sets(base, KEY, lower, only=_filter(placed, "k1"), whole=True).select(*KEY, "tokens")
+    links = staged(_verify(full.join(placed, KEY)), "found")
     joined = components(links).select(F.col("node").alias("rep"), F.col("component").alias("root"))
-    classes = reps.select("hi", "lo", "n_shingles", "rep").join(joined, "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    members = signed.select(F.col("key").alias(RID), "n_shingles", "hi", "lo").join(classes, ["hi", "lo", "n_shingles"], "left")
-    members = staged(members.select(RID, "n_shingles", F.coalesce("root", -F.col(RID) - 1).alias("root")).join(ids, RID), "members")
+    classes = staged(reps.join(joined, "rep", "left").select("hi", "lo", "n", "rows", F.coalesce("root", "rep").alias("root")), "roots")
+    none = signed.where("n = 0").select(*KEY, "doc_id", "n", F.col("doc_id").alias("component_id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY).alias("least"))
+    members = staged(join_counted(signed.where("n > 0").drop("tokens"), classes, ["hi", "lo", "n"], "rows").select(*KEY, "doc_id", "n", "root"), "members")
     # a root's rows may be many: the smallest is an aggregate (partial before its shuffle), and is joined back
-    least = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(RID).alias("rid"))).alias("least"))
-    return members.join(least, "root").select(RID, "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("least.rid") == F.col(RID)).alias("first"))
+    least = staged(members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("least"), F.count("*").alias("rows")), "least")
+    out = join_counted(members, least, ["root"], "rows").select(*KEY, "doc_id", "n", F.col("least.doc_id").alias("component_id"), "least")
+    for x in (signatures, groups, placed, links):
+        unstage(x)
+    return out.unionByName(none)
+
+
+def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lower: bool = True, exact: bool = False) -> DataFrame:
+    """One row for each row of ``df``: ``doc_id, n_shingles, component_id``.
+
+    ``component_id``: the smallest id that can be reached over links, the row's own included. A text without words (or
+    null) has an empty set and links to nothing. Null ids rank above all others: a component of nothing else has a null id.
+    Rows that repeat a text are in one component. Very long texts are used whole; other columns are not read; no rows give
+    none. ``df`` is scanned several times, in any splits: rows are known by ``row_key``.
+    """
+    return _components(df, text, doc_id, lower, exact).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that are first in their component, with their columns."""
-    base = keyed(df, "keyed")
-    first = _components(base.select(RID, F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), True).where("first").select(RID)
-    return base.join(first, RID, "left_semi").drop(RID)
+    """The rows of ``df`` that are first in their component, with their columns: of each component the one with the smallest id,
+    and of rows that repeat that id and text one. Rows without words are components of their own."""
+    d = _components(df, text, doc_id, True, False)
+    first = (F.col("least.k1") == F.col("k1")) & (F.col("least.k2") == F.col("k2"))
+    return keep_rows(df, staged(d.select(*KEY, first.alias("kept"), (F.col("n") > 0).alias("once")), "decided"), text, doc_id)
