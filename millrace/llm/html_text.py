@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder mstyle semantics object".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+_PARTS = ("table", "td", "th", "section", "article", "aside", "nav", "main", "header", "footer", "blockquote", "form", "fieldset", "details", "figure", "button")
 # An element that starts closes an open one of these, up to the nearest of its scope.
 ENDS = {
-    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
-    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "body": (("head",), ("html",)),
+    "li": (("li",), ("ul", "ol", "menu", *_PARTS)), "dt": (("dt", "dd"), ("dl", *_PARTS)), "dd": (("dt", "dd"), ("dl", *_PARTS)), "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
 }
-NEVER = frozenset("head form button input select option textarea canvas audio video datalist".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+NEVER = frozenset("head button input select option textarea canvas audio video datalist annotation annotation-xml".split())
 
 _TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^"'>]++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)""", re.S
@@ -51,14 +53,50 @@ class Page:
     texts: list[tuple[int, int, str]] = field(default_factory=list)  # block, node, decoded text
 
 
+class _Open:
+    """The open elements and the node of each, with the places of every tag among them: a step doesn't depend on the depth."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("#root", 0)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.never = 0
+
+    def push(self, tag: str, node: int) -> None:
+        self.places[tag].append(len(self.stack))
+        self.stack.append((tag, node))
+        self.never += tag in NEVER
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, tags: tuple[str, ...], scope: tuple[str, ...] = ()) -> bool:
+        """Closes the nearest open element of ``tags``, and what is in it, unless one of ``scope`` is nearer."""
+        at = self._last(tags)
+        if not at or self._last(scope) > at:
+            return False
+        while len(self.stack) > at:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            self.never -= tag in NEVER
+        return True
+
+
 def parse(source: str) -> Page:
-    """Blocks of a page in page order. Block elements, and inline ones that have a class, id or role, are nodes."""
+    """Blocks of a page in page order. Block elements, and inline ones that have a class, id or role, are nodes.
+
+    Time is in proportion to the length, however deep elements nest or however many are left open.
+    """
     page = Page()
-    nodes, stack, block, at = page.nodes, [("#root", 0)], 0, 0
+    open_, block, at = _Open(), 0, 0
+    nodes, stack = page.nodes, open_.stack
 
     def put(raw: str) -> None:
-        if any(t in NEVER for t, _ in stack):
-            return
+        if open_.never:
+            if not open_.places["head"] or not raw.strip():
+                return
+            open_.close(("head",))  # text ends a head that was left open
+            if open_.never:
+                return
         s = html.unescape(raw)
         node = nodes[stack[-1][1]]
         n = len(s) - s.count(" ")
@@ -68,14 +106,6 @@ def parse(source: str) -> Page:
             node.link_chars += n
         page.texts.append((block, stack[-1][1], s))
 
-    def close(names: tuple[str, ...], scope: frozenset | tuple) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in scope:
-                return
-
     size = len(source)
     while at < size:
         m = _TOKEN.search(source, at)
@@ -91,39 +121,42 @@ def parse(source: str) -> Page:
         if tag not in INLINE:
             block += 1
         if m[1]:
-            close((tag,), ("table", "td", "th") if tag in ("p", "li", *INLINE) else ())
+            open_.close((tag,), ("table", "td", "th") if tag in ("p", "li") or tag in INLINE else ())
             continue
+        if tag not in IN_HEAD and open_.places["head"]:
+            open_.close(("head",))
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+            end = _raw_end(tag).search(source, at)
             at = end.start() if end else size
             if tag == "title" and end is None:
                 at = m.end()
-            stack.append((tag, stack[-1][1]))
+            open_.push(tag, stack[-1][1])
             continue
         if tag in CLOSES_P:
-            close(("p",), ("table", "td", "th", "button"))
+            open_.close(("p",), ("table", "td", "th", "button"))
         if tag in ENDS:
-            own, scope = ENDS[tag]
-            while stack[-1][0] in own or any(t in own for t, _ in stack[::-1][:6]) and not any(t in scope for t, _ in stack[-1:]):
-                before = len(stack)
-                close(own, scope)
-                if len(stack) == before:
-                    break
+            while open_.close(*ENDS[tag]):
+                pass
         names = tuple(p for x in _NAMED.finditer(m[3]) for p in _PART.findall((x[1] or x[2] or x[3] or "").lower())) if m[3] else ()
         if tag in VOID:
             if tag == "br":
                 page.texts.append((block, stack[-1][1], " "))
             continue
         if tag in INLINE and not names:
-            stack.append((tag, stack[-1][1]))
+            open_.push(tag, stack[-1][1])
         else:
             nodes.append(Node(tag, stack[-1][1], names))
-            stack.append((tag, len(nodes) - 1))
+            open_.push(tag, len(nodes) - 1)
         if m[3].rstrip().endswith("/") and tag in INLINE:
-            stack.pop()
+            open_.close((tag,))
     return page
 
 
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
 def features(page: Page) -> list[list[str]]:
     below = [n.chars for n in page.nodes]
     links = [n.link_chars for n in page.nodes]
@@ -262,6 +295,8 @@ def training_page(r: random.Random) -> Page:
     body = pick(["notice", "header", "nav", "ad", "share", "form", "side"], 0.45) + main + pick(["comments", "side", "ad", "share", "form", "notice", "footer"], 0.45)
     if r.random() < 0.1:
         body = main
+    if r.random() < 0.05:
+        body = tag("form", body, 0)  # some frameworks put a whole page in a form
     source = f'<html data-y="0"><head><title>{words(1, 5)}</title></head><body data-y="0">{body}</body></html>' if r.random() < 0.9 else r.choice([body, main])  # or a fragment
     page = parse(source)
     labels = iter([int(m[2]) for m in re.finditer(r'<([a-z0-9]+) data-y="(\d)"( class)?', source) if m[1] not in INLINE or m[3]])
