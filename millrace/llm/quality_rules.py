@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import let
+from millrace.llm.common import let, staged
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -136,7 +136,8 @@ def learn_rules(rows: list[dict], purity: float = 0.98, min_caught: int = 10, ma
 def fit_rules(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = 6000) -> list[Rule]:
     """Rules learned from at most ``most`` labelled documents: those whose id hashes lowest. Null labels are left out."""
     ids = labels.where(f"quality is not null and {doc_id} is not null").groupBy(doc_id).agg(F.min("quality").alias("__quality")).orderBy(F.xxhash64(doc_id)).limit(most)
-    d = df.select(doc_id, text).join(F.broadcast(ids), doc_id)
+    # staged: else the statistics of all documents are computed below the join
+    d = staged(df.select(doc_id, text).join(F.broadcast(ids), doc_id), "labelled")
     s = text_statistics(d, text).where(f"not ({BASE_FAILED})").selectExpr("cast(__quality = 0 as int) bad", doc_id, *[f"{v} as {k}" for k, v in RATIOS.items()])
     rows = sorted((r.asDict() for r in s.collect()), key=lambda r: (r[doc_id], *[r[f] for f in RATIOS]))
     return learn_rules(rows)
