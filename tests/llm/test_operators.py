@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import common, cotraining, exact_dedup, html_text, jaccard_join, mixing, packing, quality_rules, sharding, suffix_dedup, url_filter
-from millrace.llm.queries import RULES, tokenizer_file
+from millrace.llm.queries import QUERIES, RULES, tokenizer_file
 from millrace.llm.suffix_array import suffix_array
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, rank int, kept string"
@@ -62,7 +62,7 @@ def moving_splits(spark, monkeypatch):
     turn = itertools.count()
 
     def move():
-        spark.conf.set("spark.sql.files.minPartitionNum", 1 + 3 * next(turn))
+        spark.conf.set("spark.sql.files.minPartitionNum", 1 + 3 * (next(turn) % 3))
 
     for module in (common, exact_dedup, jaccard_join, suffix_dedup):
         monkeypatch.setattr(module, "staged", lambda df, name, f=common.staged: (f(df, name), move())[0])
@@ -125,12 +125,13 @@ def brute_components(texts):
     return {i: (len(sets[i]), root[i]) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("common,block", [(32, 1_500_000), (3, 400)])
-def test_jaccard(spark, monkeypatch, common, block):
+@pytest.mark.parametrize("common,block,sets,exact", [(32, 1_500_000, 1_000, False), (3, 400, 1_000, False), (3, 1_500_000, 4, True)])
+def test_jaccard(spark, monkeypatch, common, block, sets, exact):
     monkeypatch.setattr(jaccard_join, "COMMON", common)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    texts = sample(2)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", sets)
+    texts = [*sample(2), "very long text " + "again and again " * 60_000]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, texts), exact=exact).collect()}
     assert got == brute_components(texts)
 
 
@@ -173,14 +174,38 @@ def test_suffix_array(seed):
     assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("many", [40_000, 3])
-def test_suffix_dedup(spark, monkeypatch, many):
-    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", many)
+@pytest.mark.parametrize("seed", range(25))
+@pytest.mark.parametrize("width", [16, 2])
+def test_edges_of_copies(monkeypatch, seed, width):
+    """Which strings around an anchor occur twice, against all pairs."""
+    r = random.Random(seed)
+    monkeypatch.setattr(suffix_dedup, "WIDTH", width)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", r.choice([5, 4000]))
+    letters, n = r.choice(["ab", "abcdef"]), r.randint(2, 30)
+    base = ["".join(r.choice(letters) for _ in range(511)) for _ in range(2)]
+    left, right, key = [], [], [r.randint(0, 1) for _ in range(n)]
+    for _ in range(n):
+        b = list(r.choice(base))
+        for _ in range(r.randint(0, 3)):
+            b[r.randrange(511)] = r.choice(letters)
+        left.append("".join(b[: r.choice([255, 255, r.randint(0, 255)])]).encode())
+        right.append("".join(b[255:][: r.choice([256, 256, r.randint(0, 256)])]).encode())
+    lo, hi = np.array([r.choice([0, 0, 128]) for _ in range(n)]), np.full(n, 255)
+    got = suffix_dedup.settle(np.array(key), lo, hi, left, right)
+    strings = [{x: left[i][:x] + b"|" + right[i][: 256 - x] for x in range(lo[i], 256) if len(left[i]) >= x and len(right[i]) >= 256 - x} for i in range(n)]
+    for i in range(n):
+        twice = [x for x, s in strings[i].items() if any(j != i and key[j] == key[i] and strings[j].get(x) == s for j in range(n))]
+        assert (got[0][i], got[1][i]) == ((min(twice), max(twice)) if twice else (256, -1))
+
+
+@pytest.mark.parametrize("most", [4_000, 3])
+def test_suffix_dedup(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
     r = random.Random(5)
     line = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     shared = line(700)
     texts = [None, "", "z" * 900, line(399), shared[:420], shared[:399]] + [line(r.randint(0, 500)) + shared[r.randint(0, 250) : r.randint(420, 700)] + line(r.randint(0, 300)) for _ in range(25)]
-    texts += [texts[10], "é" * 450]
+    texts += [texts[10], "é" * 450, line(1_200_000) + shared]
     count = collections.Counter(b[p : p + 400] for t in texts for b in [(t or "").encode()] for p in range(len(b) - 399))
     got = {x.doc_id: x for x in suffix_dedup.repeated_spans(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
@@ -195,6 +220,8 @@ def test_suffix_dedup(spark, monkeypatch, many):
         assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(b), out.sum(), hashlib.sha256(kept).hexdigest())
         assert len(got[i].spans) == (np.diff(np.concatenate([[0], out.astype(int)])) == 1).sum()
     assert suffix_dedup.repeated_spans(frame(spark, [])).count() == 0
+    again = suffix_dedup.repeated_spans(frame(spark, [shared, shared, "x"], [None, None, 1])).collect()
+    assert sorted((x.n_bytes, x.n_removed, len(x.spans)) for x in again) == [(1, 0, 0), (700, 700, 1), (700, 700, 1)]
     assert suffix_dedup.without_repeats(frame(spark, ["q" * 500, "short"])).where("text = ''").count() == 1
 
 
@@ -262,6 +289,48 @@ def test_rules_are_learned():
     assert rules and rules[0].tests[0][:2] == ("symbol_rate", ">=") and rules[0].wrong == 0
 
 
+def test_rules_of_several_tests_are_grown_pruned_and_ordered(spark):
+    r = random.Random(3)
+    row = lambda bad, **own: {f: r.randrange(100) for f in quality_rules.RATIOS} | own | {"bad": bad}
+    rows = [row(0) for _ in range(400)]
+    # bad only where both hold; either alone is good
+    rows += [row(1, symbol_rate=300 + r.randrange(99), word_length=300 + r.randrange(99)) for _ in range(120)]
+    rows += [row(0, symbol_rate=300 + r.randrange(99)) for _ in range(120)] + [row(0, word_length=300 + r.randrange(99)) for _ in range(120)]
+    rows += [row(1, digit_rate=500 + r.randrange(99)) for _ in range(60)]  # a second, smaller kind
+    r.shuffle(rows)
+    rules = quality_rules.learn_rules(rows)
+    assert [sorted(t[0] for t in x.tests) for x in rules] == [["digit_rate"], ["symbol_rate", "word_length"]]
+    assert [x.caught for x in rules] == [60, 120] and not any(x.wrong for x in rules)
+    # noise of a few rows is not worth a test of its own
+    noisy = [row(0) for _ in range(300)] + [row(1, upper_rate=700 + r.randrange(99)) for _ in range(100)] + [row(0, upper_rate=700 + r.randrange(99)) for _ in range(2)]
+    assert [len(x.tests) for x in quality_rules.learn_rules(noisy, purity=0.95)] == [1]
+
+
+def test_verdicts_are_those_of_the_decision_list(spark):
+    texts = sample(4, 80) + [" ".join(f"word{i}###!!" for i in range(80)), " ".join(map(str, range(99))), " ".join(f"word{i}" for i in range(80))]
+    rules = [quality_rules.Rule((("symbol_rate", ">=", 100), ("bang_rate", ">=", 50)), 1, 0), quality_rules.Rule((("word_length", "<", 2500),), 1, 0)]
+    rows = quality_rules.judge(frame(spark, texts), rules).collect()
+    for r in rows:
+        ratio = {"symbol_rate": 1000 * r.n_symbols // max(r.word_chars, 1), "bang_rate": 1000 * r.n_bangs // max(r.word_chars, 1), "word_length": 1000 * r.word_chars // max(r.n_words, 1)}
+        first = 0 if ratio["symbol_rate"] >= 100 and ratio["bang_rate"] >= 50 else 1 if ratio["word_length"] < 2500 else None
+        assert r.rule == (None if r.base_failed else first) and r.kept == (not r.base_failed and first is None)
+    assert {r.rule for r in rows} == {0, 1, None}
+
+
+def test_views_teach_each_other(spark):
+    r = random.Random(7)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(5))
+    good = lambda: "\n".join(" ".join(word("abcde ") for _ in range(8)) for _ in range(6))
+    bad = lambda: " ".join(word("vwxyz$#") for _ in range(r.randint(60, 90)))
+    texts = [bad() if i % 4 == 0 else good() for i in range(1200)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(300)], "doc_id long, quality int")
+    model = cotraining.fit(frame(spark, texts), labels)
+    assert all(min(given) > 0 for given in model.pseudo.values()), model.pseudo
+    assert (model.both[0] >= 0).all()
+    w, _ = cotraining.combine(np.array([[3.0, -1], [2, -2], [-2, 1], [-3, 2], [2.5, -1], [-2, 1.5]]), np.array([1.0, 1, 0, 0, 1, 0]))
+    assert (w >= 0).all() and w[0] > 0 and w[1] == 0
+
+
 def test_classifier(spark):
     r = random.Random(2)
     good = lambda: " ".join(r.choice(["sun", "rain", "the", "of", "hill."]) for _ in range(80))
@@ -310,6 +379,57 @@ def test_mixing(spark):
     assert mixing.in_mixed_order(d, weights).columns == d.columns
 
 
+def test_mix_is_the_schedule_of_earliest_deadlines(spark):
+    """The order of blocks against a slot-by-slot simulation."""
+    sizes, weights, block = {"a": 37, "b": 90, "c": 11, "d": 4}, {"a": 3, "b": 2, "*": 1}, 4
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=block)
+    got = [s for s, _ in itertools.groupby(((r.source, r.mix_block) for r in sorted(out.collect(), key=lambda r: r.mix_position)))]
+    left, want = {s: -(-n // block) for s, n in sizes.items()}, []
+    while any(left.values()):
+        live = [s for s in sorted(left) if left[s]]
+        w, done, slot = {s: weights.get(s, weights["*"]) for s in live}, dict.fromkeys(live, 0), 0
+        while all(left[s] for s in live):
+            period = sum(w.values())
+            ready = [(-(-(done[s] + 1) * period // w[s]), s) for s in live if done[s] * period // w[s] <= slot]
+            s = min(ready)[1]
+            want.append(s)
+            done[s], left[s], slot = done[s] + 1, left[s] - 1, slot + 1
+    assert [s for s, _ in got] == want
+    exact = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=block, stop_when_dry=True)
+    assert {r.mix_phase for r in exact.collect()} == {0}
+
+
+def test_many_sources_share_a_lane(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 5)
+    d = spark.createDataFrame([(i, "big" if i % 2 else f"s{i}") for i in range(200)], "doc_id long, source string")
+    out = sorted(mixing.mix_sources(d, {"big": 3, "*": 1}, block_docs=2).collect(), key=lambda r: r.mix_position)
+    assert len(out) == 200 and sum(r.source == "big" for r in out[:80]) == 60
+    with pytest.raises(ValueError):
+        mixing.mix_sources(d, {"big": 10**6})
+
+
+def test_url_filter_with_many_rules(spark, monkeypatch):
+    r = random.Random(9)
+    name = lambda: r.choice(["a", "b", "c.a", "d.b", "www.a", "e"])
+    path = lambda: r.choice(["", "/", "/x", "/x/y", "/z"])
+    urls = [f"http://{name()}{path()}{r.choice(['', '?q', '#f', '1'])}" for _ in range(300)] + ["http://" + "h." * 2000 + "a/" + "p" * 30_000, None]
+    rules = [(name(), path(), r.choice(["allow", "block"])) for _ in range(40)]
+    best = {}
+    for h, p, v in rules:
+        best[h + p] = max(best.get(h + p, ""), v)
+    d = spark.createDataFrame(list(enumerate(urls)) + [(7, urls[7])], "page_id long, url string")
+    for limit in (200_000, 3):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", limit)
+        rows = url_filter.judge_urls(d, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+        assert len(rows) == len(urls) + 1
+        for x in rows:
+            m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", x.url or "")
+            host, p = (m[1], m[2]) if m else ("", "")
+            fit = [(len(h + q), best[h + q], h + q) for h, q, _ in rules if (host == h or host.endswith("." + h)) and p.startswith(q)]
+            assert (x.rule, x.verdict) == ((max(fit)[2], max(fit)[1]) if fit else (None, "allow"))
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.ORG/es/x?q#f", "http://example.org/en/12", "http://example.org/en/2", "x://de.com/de/", "http://com/fr/", "http://notexample.net", "http://example.org?x=/es/", "http://example.org:80/es/", "a://b://c.com/de/1", "http://xorg/"]
     d = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
@@ -334,6 +454,23 @@ def test_html(spark):
     assert html_text.extract_text(d.limit(0)).count() == 0
 
 
+def test_html_parse_does_not_depend_on_depth():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_text.parse("<div><b>x " * n + "</i></p>" * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 30 * max(took(4_000), 0.02)
+    w = html_text.train()
+    inside = "<article><h1>Title</h1><p>Let <math><mi>x</mi></math> be a number, as it is. It goes on, and on.</p><ul><li><b><i><u><s><em><a>one</ul></article>"
+    assert html_text.main_text(inside, w).split("\n")[:2] == ["Title", "Let x be a number, as it is. It goes on, and on."]
+    tags = [n.tag for n in html_text.parse("<head><title>t</title><p>text<ul><li><b><b><b><b><b><b><b>x<li>y</ul>").nodes]
+    assert tags == ["#root", "head", "p", "ul", "li", "li"]
+
+
 def test_messages_are_exact_on_small_trees():
     import itertools
     import math
@@ -410,6 +547,53 @@ def test_pipeline_keeps_the_mix(spark, tmp_path, monkeypatch):
     assert left == 0
 
 
+def test_pipeline_stages_follow_labels(spark, tmp_path):
+    """All five stages on rows with labels: what the classifier rejects goes, copies go, and pieces fill sequences without gaps."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(5))
+    texts = [" ".join(word("vwxyz$#%") for _ in range(90)) if i % 4 == 0 else "\n".join(" ".join(word("abcdefg") for _ in range(9)) for _ in range(8)) for i in range(600)]
+    texts[3], texts[5] = texts[1], texts[9] + " end"
+    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in out} == {i for i in range(600) if i % 4} - {1, 9}
+    bins = collections.defaultdict(list)
+    for x in out:
+        bins[x.sequence_id].append(x)
+    for b in bins.values():
+        b.sort(key=lambda x: x.offset)
+        assert [x.offset for x in b] == list(itertools.accumulate([0, *(x.length for x in b[:-1])])) and sum(x.length for x in b) <= 4096
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_registered_queries_give_a_row_for_each_row(spark, name):
+    sf = "/root/testdata/sf0.001"
+    d = QUERIES[name](spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    rows = d.collect()
+    if name.startswith(("op1_", "op2_")):
+        assert sorted(r.page_id for r in rows) == sorted(r.page_id for r in spark.read.parquet(f"{sf}/pages.parquet").collect())
+        return
+    if name != "op7_best_fit_packing":
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs)
+    if name == "op3_ngram_jaccard_join":
+        docs.sort(key=lambda r: r.doc_id)
+        want = brute_components([r.text for r in docs])
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {docs[i].doc_id: (n, docs[c].doc_id) for i, (n, c) in want.items()}
+    if name == "op7_best_fit_packing":
+        used = collections.Counter()
+        for r in rows:
+            used[r.sequence_id] += r.length
+        assert {r.doc_id for r in rows} == {r.doc_id for r in docs} and max(used.values()) <= 4096 and len(used) <= -(-sum(used.values()) // 4096) + 1
+
+
 def test_recent_words_are_bounded_and_made_again_when_forgotten():
     asked = []
 
