@@ -15,13 +15,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged
+from millrace.llm.common import small_batches, staged
 
 END_ID = 1
 #: Positions of the order that are packed together by ``pack_in_order``: ten periods of a mix of 25 blocks of 16 documents.
 WINDOW = 4096
-#: White-space words, and pieces of words, that a generation of a worker's cache holds, and their bytes or characters at most.
-CACHE_WORDS, CACHE_PIECES, CACHE_LENGTH = 150_000, 300_000, 64
+#: White-space words that a generation of a worker's cache holds, and their bytes at most.
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 #: How the tokenizers that are taken apart here normalize and split. Any other kind encodes whole texts.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -54,7 +54,7 @@ class Recent(dict):
 
 
 class WordTokens:
-    """Ids of whole texts; each distinct piece of a word is merged once a worker where the tokenizer splits as ``_SPLIT`` does."""
+    """Ids of whole texts; a word is taken apart and merged once, as long as a worker remembers it, where the tokenizer splits as ``_SPLIT`` does."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -62,7 +62,7 @@ class WordTokens:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.specials = tuple(t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values())
-        self.words, self.pieces = Recent(CACHE_WORDS, self.word), Recent(CACHE_PIECES, self.piece)
+        self.words, self.merge = Recent(CACHE_WORDS, self.word), self.model.tokenize
         own = json.loads(self.whole.to_str())
         kinds = [x["type"] for x in (own["normalizer"] or {}).get("normalizers", ())]
         split, *rest = (own["pre_tokenizer"] or {}).get("pretokenizers", [None])
@@ -90,12 +90,8 @@ class WordTokens:
         word = raw.decode()
         if not _LATIN.fullmatch(word):
             return _packed(self.whole.encode(word, add_special_tokens=False).ids)
-        known = self.pieces
-        return b"".join([known[p] for p in _PIECE.findall(word.lower())])
-
-    def piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_CHARS)
-        return _packed([t.id for t in self.model.tokenize(shown)])
+        merge, pieces = self.merge, _PIECE.findall(word.lower())
+        return _packed([t.id for p in pieces for t in merge(p if p.isascii() else p.encode().decode("latin-1").translate(_CHARS))])
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -165,6 +161,7 @@ def token_pieces(df: DataFrame, tokenizer: str, text: str, doc_id: str, size: in
             kinds = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
+    small_batches(df.sparkSession)
     d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).cast("long").alias("order") for c in [order] if c])
     kind = d.schema["doc_id"].dataType.simpleString()
     return d.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
