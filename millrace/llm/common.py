@@ -51,6 +51,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets this session send rows to Python in small batches, so long texts and what is made of them don't add up in a worker."""
+    for name, most, most_text in (("maxRecordsPerBatch", 1000, "1000"), ("maxBytesPerBatch", 4 << 20, "4194304b")):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most_text)
+
+
 def unstage(df: DataFrame) -> None:
     """Deletes the files of a staged table that no later job reads."""
     for name in df.inputFiles()[:1]:
@@ -141,6 +149,7 @@ def misra_gries(df: DataFrame, key: str, k: int) -> list[int]:
             keys, counts = _trim(*_summed(np.concatenate([keys, b["key"].to_numpy()]), np.concatenate([counts, more])), k)
         yield pd.DataFrame({"key": keys, "n": counts})
 
+    small_batches(df.sparkSession)
     first = df.select(F.col(key).cast("long").alias("key")).where("key is not null").mapInPandas(summary, "key long, n long")
     merged = first.repartition(MERGE_TASKS).mapInPandas(summary, "key long, n long").collect()
     keys, _ = _trim(*_summed(np.array([r["key"] for r in merged], np.int64), np.array([r["n"] for r in merged], np.int64)), k)

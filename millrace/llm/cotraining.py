@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix64, word_hashes
+from millrace.llm.common import mix64, small_batches, word_hashes
 
 #: Bounds of what is fitted on: labelled rows, and rows that may get a pseudo-label.
 LABELLED, POOL = 3000, 2000
@@ -200,6 +200,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
 
     Labels: ``quality`` over 0 is good; null ids and labels are left out, and of labels that repeat an id the lowest counts.
     """
+    small_batches(df.sparkSession)
     by_hash = lambda d: d.orderBy(F.xxhash64(doc_id), doc_id)
     marked = labels.where(f"{doc_id} is not null and quality is not null").groupBy(doc_id).agg(F.min("quality").alias("__y"))
     known = by_hash(marked).limit(labelled)
@@ -244,6 +245,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", doc_id: str =
     d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), *_strings(meta))
     if model is None:
         return d.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("kept"))
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import small_batches
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg select".split())
@@ -359,6 +361,7 @@ def extract_text(df: DataFrame, html_column: str = "html") -> DataFrame:
     browsers do where it matters (implied ends, unclosed quotes, comments and raw elements up to the end). Repeated rows
     give equal texts; no rows give no rows. Nothing is shuffled; the model (some hundred weights) is broadcast.
     """
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(train())
     own = [c for c in df.columns if c not in ("text", "n_chars")]
     d = df.select(*own, F.col(html_column).alias("__html"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import join_counted, keep_rows, mix64, row_key, shingle_hashes, staged, unstage, word_hashes
+from millrace.llm.common import join_counted, keep_rows, mix64, row_key, shingle_hashes, small_batches, staged, unstage, word_hashes
 from millrace.llm.components import components
 
 #: A link needs NUM / DEN of the union.
@@ -37,7 +37,7 @@ MISS = 1e-20
 #: Bits of the filters by which tasks know wanted rows and common shingles; full ones only cost time.
 FILTER_BITS = 1 << 26
 #: Hashes and sets that one verification task holds, about; larger components are verified in pairs of blocks.
-BLOCK, BLOCK_SETS = 1_500_000, 1_000
+BLOCK, BLOCK_SETS = 600_000, 1_000
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
@@ -295,6 +295,7 @@ def _signatures(base: DataFrame, reps: DataFrame, lower: bool, exact: bool) -> D
 
 def _components(df: DataFrame, text: str, doc_id: str, lower: bool, exact: bool) -> DataFrame:
     """``k1, k2, doc_id, n, component_id, root, least`` for each row: ``least`` has the key of the component's first row."""
+    small_batches(df.sparkSession)
     base = df.select(*row_key(doc_id, text), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = staged(_sets(base, [*KEY, "doc_id"], lower, exact), "signed")
     classes = signed.where("n > 0").groupBy("hi", "lo", "n").agg(F.min(F.struct(*KEY, "tokens")).alias("x"), F.count("*").alias("rows"))
