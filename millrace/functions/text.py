@@ -5,18 +5,10 @@ SQL = {
     "fn_tokenize": "select conv_id, turn, $JOIN($TOKENS(text), ',') as head from chat",
     "fn_prompt_join": "select conv_id, md5($PROMPT) as prompt from chat group by conv_id",
     "fn_last_message": "select conv_id, max_by(text, turn) as last from chat group by conv_id",
-    "fn_sha256_key": "select request_id, $SHA_FROM'inference:' || model_name || '|' || cast(coalesce(nullif(tokens_generated, 0), 100) as string)$SHA_TO as key from request_metric",
     "fn_md5_prefix": "select conv_id, turn, left(md5(text), 8) as digest from chat",
-    "fn_key_prefix": "select id, left(key, 8) as prefix from api_keys",
     "fn_email_normalise": "select id, left(m, length(m) - length(split_part(m, '@', -1))) || lower(split_part(m, '@', -1)) as email from (select id, email || '@Example.COM' as m from users) x",
-    "fn_title": "select distinct upper(left(metric, 1)) || lower(substr(metric, 2)) as title from metric_point",
     "fn_upper_contains": "select page_id, upper(html) like '%COOKIE%' or upper(html) like '%TRACK%' as hit from pages",
     "fn_regex_ci": "select doc_id, case when $REGEX(lower(text), 'sql syntax|ora-[0-9]+') then 'sql' when $REGEX(lower(text), 'traceback|license') then 'debug' else 'none' end as kind from documents",
-    "fn_contains_reflect": "select page_id, position('<script>' in html) > 0 and position('script' in lower(html)) > 0 as reflected from pages",
-    "fn_template_replace": "select conv_id, turn, replace(left(text, 80), 'the', 'PAYLOAD') as filled from chat",
-    "fn_url_join": "select page_id, split_part(url, '://', 1) as scheme, split_part(split_part(url, '://', 2), '/', 1) || '/health' as target from pages",
-    "fn_starts_with": "select conv_id, turn, $STARTS('data: ' || text, 'data: ') and text <> '[DONE]' as is_data from chat",
-    "fn_fmt_number": "select request_id, lpad(cast(request_id % 1000 as string), 3, '0') as id3 from request_metric",
     "fn_basename_strip": "select id, replace(split_part('/backups/backup-' || key, '/', -1), 'backup-', '') as base from api_keys",
     "fn_bytes_to_mb": "select id, round(python_objects / 1048576.0, 9) as mb from memory_stat",
     "fn_ms": "select request_id, round(duration * 1000, 4) as ms from request_metric",
@@ -26,13 +18,8 @@ SQL = {
     "fn_greatest": "select request_id, greatest(cpu_usage, memory_usage) as peak from request_metric",
     "fn_days_until": "select id, cast(floor((996624000.0 - t) / 86400) as bigint) as days from api_keys",
     "fn_epoch": "select event_id, cast(floor(t) as bigint) as created from metric_point",
-    "fn_zero_vector": "select vec_id, cast(label as bigint) as label from embeddings",
     "fn_json_path": "select event_id, cast($JSON(props, '$.k') as bigint) as k from events",
     "fn_dict_get_default": "select event_id, coalesce($JSON(props, '$.absent'), 'none') as v from events",
     "fn_weighted_mix": "select metric, round(1.0 * count(*) / sum(count(*)) over (), 6) as share from metric_point group by metric",
     "fn_stage_ramp": "select s.t0 + i.i as second, round(s.v0 + (s.v1 - s.v0) * i.i / 10.0, 6) as users from (values (0, 0, 10), (10, 10, 10), (20, 10, 50)) as s(t0, v0, v1) cross join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) as i(i)",
-    "arr_batch_build": "select cast(floor(request_id / 8) as bigint) as batch, count(*) as prompts, max(tokens_generated) as max_tokens, min_by(cpu_usage, request_id) as temperature from request_metric group by cast(floor(request_id / 8) as bigint)",
-    "json_records": "select request_id, '{\"endpoint\":\"' || endpoint || '\",\"status\":' || cast(status as string) || '}' as record from request_metric",
-    "map_merge": "select endpoint, model_name, count(*) as n from request_metric group by endpoint, model_name",
-    "st_conversation_append": "select conv_id, count(*) as turns, max(turn) as last_turn from chat group by conv_id",
 }
