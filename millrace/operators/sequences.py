@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,85 @@ def micro_batch(df: DataFrame, key: str = "service", ts: str = "t", event: str =
         return (batch, first, n), (batch, n)
 
     return fold(df, key, [ts, event], step, (0, None, 0), [ts, event], "batch long, place long")
+
+
+def lru_cache(df: DataFrame, capacity: int, shard: str = "shard", key: str = "key", ts: str = "t", event: str = "request_id") -> DataFrame:
+    """``hit`` and ``evicted`` (a key or null) for each access of a shard's cache, exact: a hit is the newest again, and beyond
+    ``capacity`` keys the oldest goes. A task holds that many keys."""
+
+    def step(state, row):
+        state = state.copy() if not state else state  # the start value is shared
+        hit, out = row[2] in state, None
+        state.pop(row[2], None)
+        state[row[2]] = True
+        if len(state) > capacity:
+            out = next(iter(state))
+            del state[out]
+        return state, (hit, out)
+
+    return fold(df, shard, [ts, event], step, {}, [ts, event, key], "hit boolean, evicted string")
+
+
+def least_connections(df: DataFrame, backends: int = 3, fails: int = 3, out_s: float = 30, pool: str = "pool", ts: str = "t", event: str = "request_id", duration: str = "duration", ok: str = "ok") -> DataFrame:
+    """``backend`` for each request: the one with the fewest open connections, the first of equal ones; ``fails`` failures in a row take a
+    backend out for ``out_s`` seconds, unless all are out. A task holds the open connections."""
+
+    def step(state, row):
+        ends, failed, until = state or ([[] for _ in range(backends)], [0] * backends, [float("-inf")] * backends)
+        t, length, good = row[0], row[2], row[3]
+        ends = [[e for e in some if e > t] for some in ends]
+        live = [i for i in range(backends) if until[i] <= t] or list(range(backends))
+        i = min(live, key=lambda k: (len(ends[k]), k))
+        ends[i].append(t + length)
+        failed = [0 if k == i and good else failed[k] + (k == i and not good) for k in range(backends)]
+        if failed[i] >= fails:
+            until, failed = [t + out_s if k == i else until[k] for k in range(backends)], [0 if k == i else failed[k] for k in range(backends)]
+        return (ends, failed, until), (i,)
+
+    return fold(df, pool, [ts, event], step, None, [ts, event, duration, ok], "backend int")
+
+
+def concurrent(df: DataFrame, limit: int, key: str = "user_id", ts: str = "t", duration: str = "duration") -> DataFrame:
+    """``key, peak, over``: the most requests of a key that run at once (ends come before starts), and whether that is over ``limit``."""
+    edge = F.explode(F.array(F.struct(F.col(ts).alias("t"), F.lit(1).alias("d")), F.struct((F.col(ts) + F.col(duration)).alias("t"), F.lit(-1).alias("d")))).alias("e")
+    running = F.sum("e.d").over(Window.partitionBy(key).orderBy("e.t", "e.d").rowsBetween(Window.unboundedPreceding, 0))
+    return df.select(key, edge).select(key, running.alias("c")).groupBy(key).agg(F.max("c").alias("peak")).withColumn("over", F.col("peak") > limit)
+
+
+def rate_rule(df: DataFrame, limit: int, seconds: float, key: str = "user_id", ts: str = "t", event: str = "request_id") -> DataFrame:
+    """``event, n, blocked``: a key's requests in the ``seconds`` up to each, and whether that is over ``limit``."""
+    recent = Window.partitionBy(key).orderBy(ts).rangeBetween(-seconds, 0)
+    return df.select(event, F.count("*").over(recent).alias("n")).withColumn("blocked", F.col("n") > limit)
+
+
+def sampled(df: DataFrame, every: float, key: str, ts: str = "t", event: str = "id") -> DataFrame:
+    """The first row of a key in each period, as a sampler that wakes that often would take it."""
+    first = Window.partitionBy(key, F.floor(F.col(ts) / every)).orderBy(ts, event)
+    return df.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
+def polled(df: DataFrame, every: float, key: str, status: str, ts: str = "t", event: str = "id") -> DataFrame:
+    """``key, tick, status``: what a poll every so many seconds sees of a key, from its first event to its last: the latest status."""
+    tick = (F.floor(F.col(ts) / every) + 1).cast("long")
+    last = df.groupBy(key, tick.alias("tick")).agg(F.max_by(status, F.struct(ts, event)).alias("s"))
+    span = last.groupBy(key).agg(F.min("tick").alias("a"), F.max("tick").alias("b"))
+    ticks = span.select(key, F.explode(F.sequence("a", "b")).alias("tick"))
+    seen = F.last("s", ignorenulls=True).over(Window.partitionBy(key).orderBy("tick"))
+    return ticks.join(last, [key, "tick"], "left").select(key, (F.col("tick") * every).alias("tick"), seen.alias("status"))
+
+
+def retry_wait(attempts: Column, delay: float, most: int = 3) -> Column:
+    """Seconds that a call has waited after so many failed attempts: ``delay * k`` after the k-th, and none after the last."""
+    k = F.least(attempts, F.lit(most - 1))
+    return F.lit(delay) * k * (k + 1) / 2
+
+
+def interval_peak(runs: DataFrame, samples: DataFrame, run: str, key: str, start: str, end: str, at: str, value: str, step: float) -> DataFrame:
+    """``run, peak``: the largest sample of the run's key taken from ``start`` up to ``end``; runs without one have no row.
+
+    Runs and samples meet by key and stretch of ``step`` seconds, so a hot key's rows are dealt over its time.
+    """
+    part = lambda t: F.floor(t / step).cast("long")
+    r = runs.select(run, key, start, end, F.explode(F.sequence(part(F.col(start)), part(F.col(end)))).alias("__part"))
+    s = samples.select(key, at, value, part(F.col(at)).alias("__part"))
+    return r.join(s, [key, "__part"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).groupBy(run).agg(F.max(value).alias("peak"))

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def events_stream(spark: SparkSession, path: str) -> DataFrame:
+def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A folder of event files as a stream; ``ts`` becomes an instant, so watermarks work."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling_stats(events: DataFrame, period: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -22,6 +22,28 @@ def tumbling_stats(events: DataFrame, period: str = "1 hour", late: str = "1 hou
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("average")).select(F.col("window.start").alias("start"), "event_type", "n", "average")
 
 
+def alarms(stats: DataFrame, limit: float, seconds: float, key: str = "event_type", value: str = "average", start: str = "start") -> DataFrame:
+    """``key, start, alarm`` of periods that have one before them: this one and the one right before are over ``limit``."""
+    w = Window.partitionBy(key).orderBy(start)
+    d = stats.select(key, F.col(start).cast("double").alias("start"), (F.col(value) > limit).alias("breach"))
+    d = d.withColumns({"before": F.lag("breach").over(w), "prior": F.lag("start").over(w)}).where("prior is not null")
+    return d.select(key, F.col("start").cast("long").alias("start"), (F.col("breach") & F.col("before") & (F.col("start") - F.col("prior") == seconds)).alias("alarm"))
+
+
+def alarm_stream(events: DataFrame, path: str, checkpoint: str, limit: float, seconds: int = 3600) -> StreamingQuery:
+    """Alarms over a stream of events: statistics by periods are the stream's state; each trigger tells the alarms as they stand, in
+    a folder of its own, so a trigger that is run again replaces its own files."""
+    w = F.window("ts", f"{seconds} seconds")
+    stats = events.groupBy(w, "event_type").agg(F.avg("value").alias("average")).select(F.col("window.start").alias("start"), "event_type", "average")
+
+    def each(batch: DataFrame, i: int) -> None:
+        alarms(batch, limit, seconds).write.mode("overwrite").parquet(f"{path}/trigger={i}")
+
+    q = stats.writeStream.foreachBatch(each).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def limiter(events: DataFrame, limit: int = 100, window_s: float = 3600.0) -> DataFrame:
     """``user_id, n, allowed`` of each request; the anchor and count of a user are state, events of a trigger go in time order."""
 
@@ -55,3 +77,11 @@ def refresh_view(df: DataFrame, path: str, build, checkpoint: str) -> StreamingQ
     q = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def on_arrival(spark: SparkSession, path: str, refresh: Callable[[], object], checkpoint: str) -> StreamingQuery:
+    """Runs ``refresh`` once for whatever has arrived in a folder since the last time."""
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    q = source.writeStream.foreachBatch(lambda batch, i: None if batch.isEmpty() else refresh() and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
