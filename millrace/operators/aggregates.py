@@ -16,24 +16,12 @@ SQL = {
     # scans and sinks
     "src_orm_scan": "select * from users",
     "src_keyed_lookup": "select endpoint, max_by(request_id, t * 100000.0 + request_id % 100000) as latest from request_metric where endpoint = '/click' group by endpoint",
-    "src_pg_execute": "select count(*) as n from query_log where time_ms > 100",
     "src_pg_batch": "select 'users' as name, count(*) as n from users union all select 'api_keys', count(*) from api_keys",
-    "src_http_request": "select endpoint, status, round(avg(duration), 6) as avg_ms from request_metric group by endpoint, status",
-    "src_cloudwatch": "select metric, cast(floor(t / 300) as bigint) * 300 as period, round(avg(value), 6) as average, round(max(value), 6) as maximum, round(sum(value), 6) as total from metric_point group by metric, cast(floor(t / 300) as bigint)",
     "src_load_gen": "select request_id, status, duration, status between 200 and 299 as success from request_metric",
     "src_psutil": "select id, process_memory_mb, system_percent from memory_stat",
     "src_inline_rows": "select severity, rank_ from severity",
-    "src_redis_get": "select r.request_id, c.latest is not null as hit from request_metric r left join (select endpoint, max(request_id) as latest from request_metric where status = 200 group by endpoint) c on r.endpoint = c.endpoint",
-    "src_metrics_stub": "select 0 as requests_total, 0.0 as avg_latency, 'healthy' as status",
-    "src_restore": "select max(name) as latest from (select 'backup-' || cast(cast(floor(t / 86400) as bigint) as string) as name from api_keys) b",
-    "cat_table_count": "select count(*) as n from (values ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events')) as c(name)",
-    "snk_csv": "select 'metric' as metric, 'value' as value union all select endpoint, cast(count(*) as string) from request_metric group by endpoint",
-    "snk_text_report": "select endpoint || ' requests=' || cast(count(*) as string) || ' errors=' || cast(count(error) as string) as line from request_metric group by endpoint",
-    "snk_backup": "select 'users' as tab, cast(id as string) as k from users union all select 'orders', cast(id as string) from query_log",
     # projections and filters
-    "prj_user": "select id, email, is_active, group_id = 0 as is_staff from users",
     "prj_apikey": "select id, key, t, is_active from api_keys",
-    "prj_admin_list": "select email, is_active, role from users",
     "prj_role_content": "select conv_id, turn, role, text as content from chat",
     "prj_rename": "select schemaname, tablename, ins as inserts, upd as updates, del as deletes from table_stat",
     "prj_computed_sum": "select id, cast(ins + upd + del as bigint) as writes from table_stat",
@@ -48,27 +36,17 @@ SQL = {
     "flt_slow_query_log": "select id, time_ms from query_log where time_ms * 1000 > 100000",
     "flt_slow_capture": "select request_id, duration from (select request_id, duration, row_number() over (order by t desc, request_id desc) as n from request_metric where duration > 100) x where n <= 100",
     "flt_seq_scan_tables": "select id, tablename, seq_scan, seq_tup_read from table_stat where seq_scan > 1000 and seq_tup_read > 100000",
-    "flt_indexable_cols": "select schemaname, tablename from (select schemaname, tablename, row_number() over (partition by schemaname order by tablename, id) as n from table_stat) x where n <= 5",
     "flt_not_null_or": "select id from table_stat where last_analyze is null or last_autoanalyze is null",
     "flt_dead_ratio": "select id, round(1.0 * dead / greatest(live, 1), 6) as ratio from table_stat where 1.0 * dead / greatest(live, 1) > 0.1",
     "flt_index_usage": "select id, case when idx_scan = 0 then 'unused' else 'hot' end as kind from index_stat where idx_scan = 0 or idx_scan > 10000",
     "flt_success": "select request_id from request_metric where status >= 200 and status < 300",
     "flt_nonblank": "select conv_id, turn from chat where trim(text) <> ''",
     "flt_skip_paths": "select request_id from request_metric where not ($STARTS(endpoint, '/view') or $STARTS(endpoint, '/sign'))",
-    "flt_membership": "select id from users where role = 'BUILDING' or role = 'MACHINERY'",
-    "flt_obj_perm": "select k.id, k.user_id = 7 or u.group_id = 0 as allowed from api_keys k join users u on k.user_id = u.id",
     "prd_header_missing": "select page_id, h.name as missing from pages cross join (values ('viewport'), ('charset'), ('robots')) as h(name) where html is null or position(h.name in html) = 0",
-    "prd_path_exists": "select page_id from pages where length(html) > 0 and url like '%/en/%'",
-    "prd_unauth_access": "select e.endpoint, k.kind from (select distinct endpoint from request_metric where status = 200) e cross join (values ('none'), ('weak')) as k(kind)",
-    "prd_config_issue": "select page_id from pages where html like '%Index of%' or html like '%track(%'",
-    "prd_tls": "select page_id, $STARTS(url, 'https://') as secure, $REGEX(upper(url), 'RC4|DES|MD5') as weak from pages where url is not null",
     # aggregates
     "agg_user_stats": "select u.id, u.email, count(r.id) as total_requests, max(r.t) as last_request, round(avg(r.response_time_ms), 6) as avg_response from users u left join api_requests r on u.id = r.user_id where u.is_active group by u.id, u.email",
     "agg_conn_by_state": "select coalesce(state, 'unknown') as state, count(*) as n, cast(sum(count(*)) over () as bigint) as total, round(100.0 * sum(count(*)) over () / 200, 6) as utilisation from pg_stat_activity group by coalesce(state, 'unknown')",
-    "agg_max_conn_setting": "select count(*) as total, round(count(*) / 200.0, 6) as utilisation from pg_stat_activity",
-    "agg_request_summary": "select count(*) as n, round(avg(duration), 6) as avg_time, round(max(duration), 6) as max_time, round(min(duration), 6) as min_time, round(percentile_cont(0.95) within group (order by duration), 6) as p95, round(percentile_cont(0.99) within group (order by duration), 6) as p99 from request_metric",
     "agg_db_summary": "select q.n as query_count, q.avg_time, q.slow, round(1.0 * q.n / greatest(r.n, 1), 6) as per_request from (select count(*) as n, round(avg(time_ms), 6) as avg_time, count(case when time_ms > 100 then 1 end) as slow from query_log) q cross join (select count(*) as n from request_metric) r",
-    "agg_queries_per_req": "select user_id, count(*) as n, round(sum(response_time_ms), 4) as wall from api_requests group by user_id",
     "agg_cache_counters": "select endpoint as op, count(*) as total, count(case when status = 200 then 1 end) as hits, count(case when status <> 200 then 1 end) as misses from request_metric group by endpoint",
     "agg_memory_summary": "select round(max_by(process_memory_mb, t * 100000.0 + id % 100000), 6) as current_mb, round(avg(process_memory_mb), 4) as avg_mb from memory_stat",
     "agg_perf_summary": f"select count(*) as total, round(avg(duration), 6) as avg_duration, round(avg(cpu_usage), 6) as avg_cpu, round(avg(memory_usage), 6) as avg_memory, count(nullif(error, '')) as errors, {_RATE} from request_metric where t > $NOW - 15 * 86400",
@@ -81,29 +59,18 @@ SQL = {
         select min_by(model_name, a) as fastest, max_by(model_name, tps) as best_tps, min_by(model_name, mem) as leanest, min_by(model_name, err) as safest from m""",
     "agg_best_batch": "with b as (select batch_size, avg(tokens_generated / duration) as tps from request_metric group by batch_size) select max_by(batch_size, tps) as best from b having count(*) > 1",
     "agg_profile_latest": "with l as (select endpoint, duration, row_number() over (partition by endpoint order by t desc, request_id desc) as n from request_metric) select count(*) as views, round(sum(duration), 6) as total, round(avg(duration), 6) as avg_time, max_by(endpoint, duration) as slowest from l where n = 1",
-    "agg_query_profile": "select count(*) as n, round(sum(time_ms), 4) as total, round(avg(time_ms), 6) as avg_time, min(case when r = 1 then id end) as slowest from (select id, time_ms, row_number() over (order by time_ms desc, id) as r from query_log) x",
-    "agg_query_groups": "select case when length(query) > 5 then left(query, 5) || '...' else query end as shape, count(*) as n, round(sum(time_ms), 4) as total from query_log group by case when length(query) > 5 then left(query, 5) || '...' else query end",
-    "agg_mem_snapshots": "select round(max(process_memory_mb), 6) as max_mb, round(min(process_memory_mb), 6) as min_mb, round(avg(process_memory_mb), 4) as avg_mb, round(max_by(process_memory_mb, t * 100000.0 + id % 100000) - min_by(process_memory_mb, t * 100000.0 + id % 100000), 6) as growth from memory_stat",
     "agg_mem_trends": "select round(min(process_memory_mb), 6) as lo, round(max(process_memory_mb), 6) as hi, case when max_by(process_memory_mb, t * 100000.0 + id % 100000) > min_by(process_memory_mb, t * 100000.0 + id % 100000) then 'increasing' else 'decreasing' end as trend, min(python_objects) as objects_lo, max(python_objects) as objects_hi, count(gpu_percent) as gpu_n from memory_stat",
     "agg_pg_statements": "select query, count(*) as calls, round(sum(time_ms), 4) as total_time, round(avg(time_ms), 6) as mean_time, round(min(time_ms), 6) as min_time, round(max(time_ms), 6) as max_time, round(stddev_pop(time_ms), 6) as stddev_time, cast(sum(rows_) as bigint) as rows_ from query_log group by query",
     "agg_table_stats": "select count(*) as total, count(case when 1.0 * dead / greatest(live, 1) > 0.1 then 1 end) as need_vacuum, count(case when last_analyze is null or last_autoanalyze is null then 1 end) as need_analyze from table_stat",
-    "agg_load_results": f"with s as (select endpoint as g, duration as v from request_metric where status between 200 and 299), {_exclusive('p95', 0.95, 's')}, {_exclusive('p99', 0.99, 's')}, n as (select endpoint as g, count(*) as n, count(case when status between 200 and 299 then 1 end) as ok, round(avg(case when status between 200 and 299 then duration end), 6) as mean, round(100.0 * count(case when status between 200 and 299 then 1 end) / greatest(count(*), 1), 6) as success from request_metric group by endpoint) select n.g as endpoint, n, ok, n - ok as failed, mean, p95, p99, success from n left join p95 on n.g = p95.g left join p99 on n.g = p99.g",
-    "agg_benchmark": """with r as (select endpoint, duration, error, row_number() over (partition by endpoint order by duration) as rn, count(*) over (partition by endpoint) as n from request_metric)
-        select endpoint, round(avg(duration), 6) as mean, round(percentile_cont(0.5) within group (order by duration), 6) as median, round(max(case when rn = cast(floor(0.95 * n) as bigint) + 1 then duration end), 6) as p95,
-        round(max(case when rn = cast(floor(0.99 * n) as bigint) + 1 then duration end), 6) as p99, round(min(duration), 6) as lo, round(max(duration), 6) as hi, count(nullif(error, '')) as errors, round(100.0 * (count(*) - count(nullif(error, ''))) / count(*), 6) as success from r group by endpoint""",
     "agg_k6_metrics": "select metric, count(*) as counter, round(avg(value), 6) as trend_avg, round(percentile_cont(0.95) within group (order by value), 6) as trend_p95, round(avg(case when value > 100 then 1.0 else 0.0 end), 6) as rate from metric_point group by metric",
     "agg_locust_totals": "select count(*) as requests, count(nullif(error, '')) as failures, round(100.0 * count(nullif(error, '')) / greatest(count(*), 1), 6) as failure_pct, round(avg(duration), 6) as avg_time, round(max(duration), 6) as max_time from request_metric",
-    "agg_pool_stats": "select round(100.0 * count(nullif(error, '')) / greatest(count(*), 1), 6) as error_pct, round(avg(duration), 6) as avg_time, 20 - 5 as busy from request_metric",
     "agg_cache_hit_rate": "select round(100.0 * count(case when status = 200 then 1 end) / greatest(count(*), 1), 6) as hit_rate from request_metric",
     "agg_status_hist": "select status, count(*) as n from request_metric group by status",
     "agg_uptime": "with p as (select floor(t / 300) as period, avg(case when status = 200 then 1.0 else 0.0 end) as healthy from request_metric group by floor(t / 300)) select round(100.0 * count(case when healthy >= 1 then 1 end) / greatest(count(*), 1), 6) as uptime from p",
     "agg_monthly_requests": "select count(*) as n, round(sum(value), 4) as total from metric_point where t >= 1704067200",
     "agg_avg_latency": "with p as (select avg(duration) as a from request_metric group by floor(t / 300)) select round(avg(a) * 1000, 4) as latency_ms from p",
-    "agg_current_rps": "with m as (select floor(t / 60) as minute, count(*) as n from request_metric where t > $NOW - 86400 group by floor(t / 60)) select round(coalesce(max(n), 0) / 60.0, 6) as rps from m",
     "agg_cw_latest": "with p as (select floor(t / 300) as period, avg(value) as a, max(value) as m, sum(value) as s from metric_point group by floor(t / 300)) select round(max_by(a, period) * 1000, 4) as latest_avg, round(max_by(m, period) * 1000, 4) as latest_max, round(sum(s), 4) as total, round(sum(s) / (24 * 3600), 6) as per_second from p",
-    "agg_dashboard_series": "select cast(floor(t / 300) as bigint) * 300 as period, count(*) as requests, round(avg(duration), 6) as latency, round(avg(cpu_usage), 6) as cpu, round(avg(memory_usage), 6) as memory, count(case when status = 200 then 1 end) as hits, count(case when status <> 200 then 1 end) as misses from request_metric group by cast(floor(t / 300) as bigint)",
     "agg_http_class": "select cast(floor(t / 300) as bigint) * 300 as period, cast(floor(status / 100) as bigint) as class, count(*) as n from request_metric group by cast(floor(t / 300) as bigint), cast(floor(status / 100) as bigint)",
     "agg_severity_counts": "select count(case when duration > 400 then 1 end) as critical, count(case when duration > 300 and duration <= 400 then 1 end) as high, count(case when duration > 300 then 1 end) as blocking from request_metric",
-    "agg_health_fail_count": "select count(case when fails > 0 then 1 end) as failing, count(*) as checks from (select endpoint, count(nullif(error, '')) as fails from request_metric group by endpoint) x",
     "agg_usage_billing": "select user_id, model_name, cast(sum(tokens_generated) as bigint) as tokens from request_metric group by user_id, model_name",
 }

@@ -6,19 +6,14 @@ SQL = {
     "join_left_user_stats": "select u.id, r.id as request_id from users u left join api_requests r on u.id = r.user_id",
     "join_inner_3way_locks": "select c.relname, l.mode, l.granted, a.query, l.query_start, l.l_orderkey, l.l_linenumber from pg_locks l join pg_class c on l.relation = c.oid join pg_stat_activity a on l.pid = a.pid where not l.granted",
     "join_fk_select_related": "select k.id, u.email from api_keys k join users u on k.user_id = u.id",
-    "join_prefetch": "select u.id, count(k.id) as n_keys, min(k.key) as first_key from users u left join api_keys k on u.id = k.user_id group by u.id",
     "join_one_to_one": "select a.id, b.role from users a join users b on a.id = b.id",
     "join_admin_search": "select k.id from api_keys k join users u on u.id = k.user_id where lower(u.email) like '%42%'",
-    "join_interval_peak": "select i.request_id, max(s.process_memory_mb) as peak from (select request_id, user_id, t, t + 3600 as t1 from request_metric) i join (select r.user_id, m.t, m.process_memory_mb from memory_stat m join request_metric r on m.id = r.request_id) s on s.user_id = i.user_id and s.t >= i.t and s.t < i.t1 group by i.request_id",
-    "join_start_end": "select a.request_id, round(b.duration - a.cpu_usage, 6) as elapsed, greatest(a.cpu_usage, b.memory_usage) as cpu from request_metric a join request_metric b on a.request_id = b.request_id",
     "join_enum_dim": "select s.severity, coalesce(f.n, 0) as n from severity s left join (select case when duration > 400 then 'critical' when duration > 300 then 'high' else 'low' end as severity, count(*) as n from request_metric group by case when duration > 400 then 'critical' when duration > 300 then 'high' else 'low' end) f on s.severity = f.severity",
     "join_cross_cases": "select e.endpoint, p.payload from (select distinct endpoint from request_metric) e cross join (values ('a'), ('b'), ('c')) as p(payload)",
     "join_zip_pos": "select a.conv_id, a.n, a.text as prompt, b.text as reply from (select conv_id, text, row_number() over (partition by conv_id order by turn) as n from chat where role = 'user') a join (select conv_id, text, row_number() over (partition by conv_id order by turn) as n from chat where role = 'assistant') b on a.conv_id = b.conv_id and a.n = b.n",
     "join_model_names": "select model_name, count(*) as n from request_metric where model_name in ('model_0', 'model_2') group by model_name",
     "join_multi_report": "select a.n as requests, b.n as queries, c.n as samples from (select count(*) as n from request_metric) a cross join (select count(*) as n from query_log) b cross join (select count(*) as n from memory_stat) c",
     # ordered analytics
-    "win_last_n_ring": "select request_id from (select request_id, row_number() over (order by t desc, request_id desc) as n from request_metric) x where n <= 1000",
-    "win_trim_1000_800": "select id from (select id, row_number() over (order by t desc, id desc) as n, count(*) over () as c from memory_stat) x where c <= 1000 or n <= 800 + ((c - 1001) % 201)",
     "win_running_avg": "select request_id, round(avg(duration) over (partition by user_id order by t, request_id rows between unbounded preceding and current row), 9) as running from request_metric",
     "win_running_peak": "select request_id, max(duration) over (partition by user_id order by t, request_id rows between unbounded preceding and current row) as peak from request_metric",
     "win_stream_count": "select conv_id, turn, row_number() over (partition by conv_id order by turn) as chunk from chat",
@@ -28,9 +23,7 @@ SQL = {
     "win_first_last_diff": f"select user_id, round(max_by(duration, {_LAST}) - min_by(duration, {_LAST}), 6) as growth, max_by(duration, {_LAST}) > min_by(duration, {_LAST}) as rising from request_metric group by user_id",
     "win_snapshot_diff": "select coalesce(a.site, b.site) as site, coalesce(b.size_, 0) - coalesce(a.size_, 0) as diff from (select endpoint as site, count(*) as size_ from request_metric where t < 1705276800 and status = 200 group by endpoint) a full outer join (select endpoint as site, count(*) as size_ from request_metric where t >= 1705276800 group by endpoint) b on a.site = b.site order by abs(coalesce(b.size_, 0) - coalesce(a.size_, 0)) desc, site limit 10",
     "win_alarm_2of2": "with p as (select metric, cast(floor(t / 3600) as bigint) as period, avg(value) > 55 as breach from metric_point group by metric, cast(floor(t / 3600) as bigint)), w as (select metric, period, breach, lag(breach) over (partition by metric order by period) as before, lag(period) over (partition by metric order by period) as prior from p) select metric, period * 3600 as period, breach and before and prior = period - 1 as alarm from w where prior is not null",
-    "win_ids_seq": "select 'HEADER-' || lpad(cast(row_number() over (order by page_id) as string), 5, '0') as finding, page_id from pages",
     # order and top-k
-    "srt_admin_date": "select id, row_number() over (order by t desc, id) as place from api_keys",
     "top_slow_50": "select query, mean_time from (select id as query, time_ms as mean_time from query_log) x order by mean_time desc, query limit 50",
     "top_tables_20": "select id, live from table_stat order by live desc, id limit 20",
     "top_hot_indexes_10": "select id, idx_scan from index_stat where idx_scan > 10000 order by idx_scan desc, id limit 10",
@@ -38,7 +31,6 @@ SQL = {
     "top_profile_fns": "select endpoint, round(sum(duration), 4) as cumulative from request_metric group by endpoint order by 2 desc, 1 limit 20",
     "top_1": "select request_id as slowest, duration from request_metric order by duration desc, request_id limit 1",
     "srt_severity": "select severity, row_number() over (order by rank_ desc, severity) as place from severity",
-    "srt_lock_wait": "select l_orderkey, l_linenumber, query_start, row_number() over (order by query_start, l_orderkey, l_linenumber) as place from pg_locks where not granted",
     "srt_latest_backup": "select max('backup-' || cast(cast(floor(t / 86400) as bigint) as string)) as latest from query_log",
     "top_recent_events": "select event_id, t from (select event_id, t from metric_point order by t desc, event_id desc limit 10) x",
     # sets
@@ -46,38 +38,12 @@ SQL = {
     "set_union_all_rules": "select 'cpu' as rule, count(*) as n from request_metric where cpu_usage > 80 union all select 'memory', count(*) from request_metric where memory_usage > 85",
     "set_except": "select h.name from (values ('click'), ('view'), ('logout')) as h(name) where not exists (select 1 from metric_point m where m.metric = h.name)",
     # rules
-    "rul_bottlenecks": """with n as (select count(*) as n, count(case when cpu_usage > 80 then 1 end) as c, count(case when memory_usage > 85 then 1 end) as m from request_metric),
-        f as (select 'latency' as kind, endpoint as subject, case when avg(duration) > 300 then 'high' else 'medium' end as severity from request_metric where duration > 100 group by endpoint
-        union all select 'cpu', 'all', 'high' from n where c > 0.1 * n union all select 'memory', 'all', 'medium' from n where m > 0.1 * n)
-        select kind, subject, f.severity, row_number() over (order by rank_ desc, kind, subject) as place from f join severity s on f.severity = s.severity""",
-    "rul_model_recs": """with m as (select model_name, avg(duration) as a, avg(tokens_generated / duration) as tps, avg(case when error <> '' then 100.0 else 0.0 end) as err from request_metric group by model_name)
-        select model_name, 'slow' as advice from m where a > 5 union all select model_name, 'throughput' from m where tps < 10 union all select model_name, 'errors' from m where err > 1""",
     "rul_memory_recs": "select 'memory' as kind, count(*) as n from memory_stat where process_memory_mb > 8000 union all select 'objects', count(*) from memory_stat where python_objects > 1000000 union all select 'gpu', count(*) from memory_stat where gpu_percent > 85",
     "rul_auto_actions": "select id, case when process_memory_mb > 8000 then 'force_cleanup' when python_objects > 1000000 then 'collect' when gpu_percent > 85 then 'clear_cache' else 'none' end as action from memory_stat",
     "rul_memory_warn": "select id, case when process_memory_mb > 4000 then 'process' when system_percent > 85 then 'system' else 'gpu' end as warning from memory_stat where process_memory_mb > 4000 or system_percent > 85 or gpu_percent > 90",
     "rul_index_suggest": "select id, 'CREATE INDEX CONCURRENTLY idx_' || replace(tablename, ' ', '_') || ' ON ' || schemaname || '.' || replace(tablename, ' ', '_') as ddl from table_stat where seq_scan > 1000 and seq_tup_read > 100000",
-    "ddl_create_index": "select 'CREATE INDEX idx_' || lower(replace(tablename, ' ', '_')) as ddl, count(*) as tables from table_stat group by 1",
-    "rul_validate_perf": "with a as (select percentile_cont(0.95) within group (order by duration) as p95, avg(duration) as mean, 100.0 * avg(case when status = 200 then 1.0 else 0.0 end) as ok from request_metric) select p95 < 100 as p95_ok, mean < 100 as mean_ok, ok >= 99.5 as success_ok from a",
     "rul_overall_status": "with a as (select endpoint, 100.0 * avg(case when status = 200 then 1.0 else 0.0 end) as ok, avg(duration) as mean from request_metric group by endpoint) select endpoint, case when ok < 95 then 'CRITICAL' when ok < 99.5 or mean >= 100 then 'NEEDS ATTENTION' else 'EXCELLENT' end as status from a",
-    "rul_report_recs": "with a as (select endpoint, percentile_cont(0.95) within group (order by duration) as p95, avg(duration) as mean from request_metric group by endpoint) select endpoint, 'reduce p95' as advice from a where p95 >= 100 union all select endpoint, 'reduce mean' from a where mean >= 100",
-    "rul_sla_status": """with p as (select floor(t / 300) as period, avg(case when status = 200 then 1.0 else 0.0 end) as healthy, avg(duration) as a, count(*) as n from request_metric group by floor(t / 300)),
-        a as (select 100.0 * count(case when healthy >= 1 then 1 end) / count(*) as uptime, sum(n) as monthly, avg(a) as latency from p)
-        select 'uptime' as metric, case when uptime >= 99.5 then 'PASS' else 'FAIL' end as status from a union all select 'monthly', case when monthly >= 1000000 then 'PASS' else 'PENDING' end from a union all select 'latency', case when latency <= 100 then 'PASS' else 'FAIL' end from a""",
-    "rul_lt_thresholds": "with a as (select endpoint, percentile_cont(0.95) within group (order by duration) as p95, 100.0 * avg(case when status = 200 then 1.0 else 0.0 end) as ok from request_metric group by endpoint) select endpoint, case when p95 > 300 then 'p95' else 'success' end as failed from a where p95 > 300 or ok < 99",
-    "rul_k6_thresholds": "with a as (select metric, percentile_cont(0.95) within group (order by value) as p95, avg(value) as mean from metric_point group by metric) select metric, p95 < 5000 as p95_ok, mean > 5 as mean_ok from a",
-    "rul_artillery_ensure": "select percentile_cont(0.99) within group (order by duration) < 30000 as p99_ok, percentile_cont(0.95) within group (order by duration) < 15000 as p95_ok, percentile_cont(0.5) within group (order by duration) < 5000 as p50_ok, avg(case when error <> '' then 1.0 else 0.0 end) < 0.05 as errors_ok from request_metric",
     "rul_latency_sla": "select request_id, case when status <> 200 then 'error' when duration > 100 then 'slow' else 'ok' end as verdict from request_metric",
-    "rul_response_check": "select request_id, case when status = 200 and tokens_generated > 0 then 'success' when status = 200 then 'Invalid response format' when status = 429 then 'Rate limited' else 'HTTP ' || cast(status as string) end as verdict from request_metric",
-    "rul_autoscale": "select endpoint, cast(least(greatest(ceil(3 * avg(cpu_usage) / 70.0), 3), 15) as bigint) as desired from request_metric group by endpoint",
-    "rul_infra_health": "select endpoint, count(case when status = 200 then 1 end) = count(*) as healthy from request_metric group by endpoint",
-    "rul_retention": "select id from query_log where t < 996624000.0 - 7 * 86400",
     "st_tumbling": "select cast(floor(t / 3600) as bigint) * 3600 as period, count(*) as n, round(avg(value), 6) as average from metric_point group by cast(floor(t / 3600) as bigint)",
-    "st_conn_limit": "with e as (select user_id, t, 1 as d from request_metric union all select user_id, t + duration * 60, -1 from request_metric) select user_id, cast(max(c) as bigint) as peak from (select user_id, sum(d) over (partition by user_id order by t, d rows between unbounded preceding and current row) as c from e) x group by user_id",
-    "st_waf_rate": "select request_id, count(*) over (partition by user_id order by t range between 43200 preceding and current row) as n from request_metric",
     "st_xray_sampling": "select request_id from (select request_id, row_number() over (partition by floor(t) order by request_id) as n from request_metric) x where n = 1 or request_id % 100 < 5",
-    "st_matview_refresh": "select u.id, count(r.id) as total_requests from users u left join api_requests r on u.id = r.user_id where u.is_active group by u.id",
-    "dml_get_or_create": "select n.name from (values ('Customer#000000001'), ('someone@new')) as n(name) where not exists (select 1 from users u where u.email = n.name)",
-    "rul_plan_advice": """with recursive plan as (select * from (values (1, 0, 'Limit', 10.0), (2, 1, 'Sort', 1500.0), (3, 2, 'Hash Join', 1200.0), (4, 3, 'Seq Scan', 900.0), (5, 3, 'Hash', 100.0), (6, 5, 'Index Scan', 90.0)) as p(id, parent, node, cost)),
-        walk as (select id, node, cost, 0 as depth from plan where parent = 0 union all select p.id, p.node, p.cost, w.depth + 1 from plan p join walk w on p.parent = w.id)
-        select max(case when node = 'Seq Scan' then 1 else 0 end) as seq_scan, max(case when node = 'Sort' then 1 else 0 end) as sort, max(case when depth = 0 and cost > 1000 then 1 else 0 end) as costly, max(depth) as depth from walk""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import aggregates, nested, relations, sequences
+from millrace.plans import bound
 from millrace.plans.engine import run_sql, view, view_text
 
 DECLARED: dict[str, str] = {**aggregates.SQL, **relations.SQL, **text.SQL}
@@ -39,30 +40,18 @@ def st_micro_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.micro_batch(view(spark, sf_dir, "request_metric").withColumn("service", F.col("model_name")), wait=1200).select("request_id", "batch", "place")
 
 
-def arr_chunk_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.chunk_explode(view(spark, sf_dir, "chat"), ["conv_id", "turn"])
-
-
 def arr_pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.pad_truncate(view(spark, sf_dir, "chat"), ["conv_id", "turn"])
 
 
-def st_sse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.sse_frames(view(spark, sf_dir, "chat").where("role = 'assistant'"), ["conv_id", "turn"])
-
-
 def topk_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     query = vectors.orderBy("vec_id").select("embedding").first()[0]
     return nested.top_k_cosine(vectors, query).select("vec_id", F.round("score", 5).alias("score"))
 
 
-def udf_generate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.generate_batch(view(spark, sf_dir, "chat"), ["conv_id", "turn"])
-
-
-FUNCTIONS = (st_fixed_window_limit, st_leaky_bucket, st_ttl_cache, st_token_cache, st_micro_batch, arr_chunk_explode, arr_pad_truncate, st_sse_stream, topk_embedding, udf_generate_batch)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _query(v) for k, v in DECLARED.items()} | {f.__name__: f for f in FUNCTIONS}
+FUNCTIONS = (st_fixed_window_limit, st_leaky_bucket, st_ttl_cache, st_token_cache, st_micro_batch, arr_pad_truncate, topk_embedding)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _query(v) for k, v in DECLARED.items()} | {f.__name__: f for f in FUNCTIONS} | bound.QUERIES
 
 
 def _recursive(key: str, extra: str, start: str, step: str, states: str, out: str) -> str:
@@ -93,9 +82,7 @@ _FOLDS = {
 _TOKENS = "(select conv_id, turn, role, $TOKENS(text) as w from chat) x"
 _CHECKS = {
     **_FOLDS,
-    "arr_chunk_explode": f"select conv_id, turn, pos - 1 as pos, case when pos < len(w) then w[pos] || ' ' else w[pos] end as chunk from (select conv_id, turn, w, unnest(range(1, len(w) + 1)) as pos from {_TOKENS}) y",
     "arr_pad_truncate": f"select conv_id, turn, array_to_string(list_concat(list_transform(range(0, greatest(16 - len(w[1:512]), 0)), lambda i: '<pad>'), w[1:512]), ' ') as padded from {_TOKENS}",
-    "st_sse_stream": f"select conv_id, turn, pos - 1 as pos, f[pos] as frame from (select conv_id, turn, f, unnest(range(1, len(f) + 1)) as pos from (select conv_id, turn, list_concat(['retry: 1000'], list_transform(w, lambda t: 'data: ' || t), ['data: [DONE]']) as f from {_TOKENS} where role = 'assistant') y) z",
     "topk_embedding": "select vec_id, round(list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings order by vec_id limit 1)), 5) as score from embeddings order by list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings order by vec_id limit 1)) desc, vec_id limit 5",
 }
-ORACLE_SQL: dict[str, str] = {k: view_text(v, "duck") for k, v in (DECLARED | _CHECKS).items()}
+ORACLE_SQL: dict[str, str] = {k: view_text(v, "duck") for k, v in (DECLARED | _CHECKS).items()} | bound.ORACLE_SQL

@@ -24,7 +24,7 @@ VIEWS = {
     "request_metric": """select event_id as request_id, '/' || event_type as endpoint, 'POST' as method, value as duration, cast($K as double) as cpu_usage,
         cast(($K * 7) % 100 as double) as memory_usage, $K as tokens_generated, 'model_' || cast(user_id % 3 as string) as model_name, 1 + event_id % 4 as batch_size,
         case when event_type = 'error' then 500 else 200 end as status, case when event_type = 'error' then 'boom' end as error, user_id, $EPOCH(ts) as t from events""",
-    "users": "select c_custkey as id, c_name as email, c_acctbal > 0 as is_active, c_nationkey as group_id, c_mktsegment as role from customer",
+    "users": "select c_custkey as id, c_name as email, c_acctbal > 0 as is_active, c_nationkey as group_id, c_mktsegment as role, c_custkey % 4 = 0 as verified, 946684800.0 + c_custkey * 86400 as joined from customer",
     "api_requests": "select o_orderkey as id, o_custkey as user_id, o_totalprice as response_time_ms, $EPOCH(o_orderdate) as t from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F'",
     "api_keys": "select o_orderkey as id, o_custkey as user_id, o_orderstatus = 'O' as is_active, 'key-' || cast(o_orderkey as string) as key, $EPOCH(o_orderdate) as t from orders",
     "query_log": "select o_orderkey as id, o_orderpriority || ' ' || o_orderstatus as query, o_totalprice / 1000 as time_ms, 1 as rows_, $EPOCH(o_orderdate) as t from orders",
@@ -38,6 +38,16 @@ VIEWS = {
     "metric_point": "select event_type as metric, value, $EPOCH(ts) as t, event_id from events",
     "chat": "select conv_id, turn, role, text from conversations",
     "memory_stat": "select event_id as id, value * 20 as process_memory_mb, cast($K as double) as system_percent, case when event_type = 'view' then cast($K as double) end as gpu_percent, event_id * 37 % 2000000 as python_objects, $EPOCH(ts) as t from events",
+    "order_query": "select l_orderkey as request_id, l_linenumber as n, l_extendedprice / 1000 as time_ms from lineitem",
+    "probe": """select event_id, '/' || event_type as endpoint, case when event_id % 3 = 0 then '' when event_id % 3 = 1 then 'test' else 'tok-' || cast(event_id as string) end as token,
+        case when event_id % 5 = 0 then 401 else 200 end as status from events""",
+    "web_response": "select page_id, url, regexp_extract(url, '://[^/]*([^?#]*)', 1) as path, html as body, case when page_id % 7 = 0 then 404 else 200 end as status, length(html) as size from pages",
+    "login": "select c_custkey as id, case when c_custkey % 5 = 0 then 'admin' else c_name end as name, case when c_custkey % 3 = 0 then 'admin' else 'pw' || cast(c_custkey as string) end as password, case when c_acctbal > 0 then 200 else 401 end as status from customer",
+    "certificate": "select page_id, case when page_id % 6 = 0 then replace(url, 'https://', 'http://') else url end as url, 1706659200.0 + page_id % 90 * 86400 as expires, case when page_id % 11 = 0 then 'ECDHE-des-cbc3' else 'TLS_AES_128' end as cipher from pages",
+    "service": """select n_name as service, count(*) as desired, count(case when s_acctbal > 0 then 1 end) as ready, count(*) as running, avg(s_suppkey % 100) as cpu, avg(s_suppkey * 7 % 100) as memory
+        from supplier join nation on s_nationkey = n_nationkey group by n_name""",
+    "setting": "select * from (values ('max_connections', '200'), ('work_mem', '64')) as s(name, setting)",
+    "span": """select event_id as request_id, value / 10 as started, value / 10 + event_id % 17 as ended, cast($K as double) as cpu_start, cast(($K * 3) % 100 as double) as cpu_end from events""",
     "severity": "select * from (values ('critical', 4), ('high', 3), ('medium', 2), ('low', 1), ('info', 0)) as s(severity, rank_)",
 }
 

@@ -1,11 +1,14 @@
-"""Every declared query against the checking engine on the smallest tables, and hand-made edge rows for the state machines."""
+"""Every query against the checking engine on the smallest tables, and hand-made or brute-force rows for what has none."""
 
 import math
+import random
+import statistics
+from collections import OrderedDict, defaultdict
 from decimal import Decimal
 
 import pytest
 
-from millrace.operators import sequences
+from millrace.operators import hooks, measures, nested, predicates, reports, sequences, store
 from millrace.plans import catalog
 from millrace.plans.engine import TABLES
 
@@ -28,7 +31,7 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL)[::3])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_matches_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
@@ -61,8 +64,112 @@ def test_batches_close_by_size_and_by_time(spark):
     assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2, 9: 3}
 
 
+def test_caches_expire_and_keep_valid_results_only(spark):
+    d = spark.createDataFrame([("a", 0.0, 1, False), ("a", 1.0, 2, True), ("a", 30.0, 3, True), ("a", 31.0, 4, False), ("a", 32.0, 5, True)], "key string, t double, request_id long, valid boolean")
+    assert {r.request_id: r.hit for r in sequences.ttl_cache(d, ttl=30).collect()} == {1: False, 2: True, 3: False, 4: True, 5: True}
+    assert {r.request_id: r.hit for r in sequences.token_cache(d, key="key", ttl=30).collect()} == {1: False, 2: False, 3: True, 4: False, 5: False}
+
+
+def test_least_recently_used_goes(spark):
+    r = random.Random(1)
+    rows = [(f"s{r.randrange(3)}", float(i), i, f"k{r.randrange(9)}") for i in range(400)]
+    held, want = defaultdict(OrderedDict), {}
+    for shard, _, i, key in rows:
+        hit, out = key in held[shard], None
+        held[shard][key] = 1
+        held[shard].move_to_end(key)
+        if len(held[shard]) > 4:
+            out = held[shard].popitem(last=False)[0]
+        want[i] = (hit, out)
+    d = spark.createDataFrame(rows, "shard string, t double, request_id long, key string")
+    assert {x.request_id: (x.hit, x.evicted) for x in sequences.lru_cache(d, 4).collect()} == want
+
+
+def test_least_connections_and_failed_backends(spark):
+    rows = [("p", 0.0, 1, 10.0, True), ("p", 0.0, 2, 1.0, True), ("p", 0.5, 3, 9.0, True), ("p", 1.0, 4, 9.0, True), ("p", 2.0, 5, 1.0, True), ("q", 0.0, 6, 1.0, False), ("q", 1.0, 7, 1.0, False), ("q", 2.0, 8, 1.0, False), ("q", 3.0, 9, 1.0, True), ("q", 40.0, 10, 1.0, True)]
+    d = spark.createDataFrame(rows, "pool string, t double, request_id long, duration double, ok boolean")
+    got = {x.request_id: x.backend for x in sequences.least_connections(d).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 1, 5: 0, 6: 0, 7: 0, 8: 0, 9: 1, 10: 0}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_percentiles_are_exact(spark, seed):
+    r = random.Random(seed)
+    rows = [(f"g{i % 3}", r.choice([None, r.randint(0, 5) / 2, r.random() * 100])) for i in range(r.choice([4, 90, 700]))] + [("one", 7.0), ("none", None)]
+    got = {x.g: x for x in measures.percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"a": ("linear", 0.95), "b": ("exclusive", 0.95), "c": ("floor", 0.95), "d": ("linear", 0.5)}).collect()}
+    by = defaultdict(list)
+    for g, v in rows:
+        if v is not None:
+            by[g].append(v)
+    assert set(got) == set(by)
+    for g, v in by.items():
+        v.sort()
+        n = len(v)
+        k = (n - 1) * 0.95
+        linear = v[int(k)] + (v[min(int(k) + 1, n - 1)] - v[int(k)]) * (k - int(k))
+        exclusive = v[0] if n == 1 else statistics.quantiles(v, n=20)[18]
+        for have, want in ((got[g].a, linear), (got[g].b, exclusive), (got[g].c, v[int(0.95 * n)]), (got[g].d, statistics.median(v))):
+            assert math.isclose(have, want, rel_tol=1e-9, abs_tol=1e-9), (g, n)
+
+
+def test_ranks_over_all_rows(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice([None, 1.0, 1.0, r.random() * 9])) for i in range(500)]
+    d = spark.createDataFrame(rows, "id long, v double")
+    for down in (False, True):
+        got = sorted((x.place, x.id) for x in measures.global_rank(d, "v", ["id"], "place", down).collect())
+        some = sorted([x for x in rows if x[1] is not None], key=lambda x: (-x[1] if down else x[1], x[0]))
+        none = [x for x in rows if x[1] is None]
+        assert [i for _, i in got] == [i for i, _ in (some + none if down else none + some)] and [p for p, _ in got] == list(range(1, 501))
+    assert measures.global_rank(d.limit(0), "v", ["id"], "place").count() == 0
+
+
+def test_store_expires_and_decodes(spark):
+    puts = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 5.0), ("b", 3, 0.0)], "key string, v int, t double")
+    kept = store.put(puts, "key", nested.F.struct("v"), "t", 10).unionByName(spark.createDataFrame([("c", "{oops", 0.0, 99.0)], "key string, value string, stored_at double, expires_at double"))
+    gets = spark.createDataFrame([("a", 14.0), ("b", 14.0), ("c", 1.0), ("d", 1.0)], "key string, t double")
+    got = {r.key: (r.hit, r.found.v if r.hit else None) for r in store.get(gets, kept, "key", "t", "v int").collect()}
+    assert got == {"a": (True, 2), "b": (False, None), "c": (False, None), "d": (False, None)}
+
+
+def test_stream_ends_by_limit_or_when_the_client_goes(spark):
+    d = spark.createDataFrame([(1, "a b c", 9, 9), (2, "a b c", 2, 9), (3, "a b c", 9, 1), (4, "", 9, 9)], "id int, text string, allowed int, read int")
+    got = defaultdict(list)
+    for r in nested.sse_stream(d, ["id"], allowed=nested.F.col("allowed"), read=nested.F.col("read")).orderBy("id", "pos").collect():
+        got[r.id].append((r.frame, r.billed))
+    assert [f for f, _ in got[1]] == ["retry: 1000", "data: a", "data: b", "data: c", "data: [DONE]"] and [b for _, b in got[1]] == [0, 1, 1, 1, 0]
+    assert [f for f, _ in got[2]][-2:] == ["data: b", 'data: {"error": "Rate limit exceeded"}']
+    assert [f for f, _ in got[3]] == ["retry: 1000", "data: a"] and [f for f, _ in got[4]] == ["retry: 1000", "data: [DONE]"]
+
+
+def test_missing_backup_files_are_an_error(spark, tmp_path):
+    users = spark.createDataFrame([(1, "a")], "id long, email string")
+    store.back_up({"users": users}, f"{tmp_path}/backup-2024-01-01")
+    assert store.find_backup(spark, str(tmp_path)) == "backup-2024-01-01" and store.find_backup(spark, str(tmp_path), "2023-01-01") is None
+    with pytest.raises(FileNotFoundError):
+        store.restore(spark, f"{tmp_path}/backup-2024-01-01", {"users": "id long", "keys": "id long"})
+    with pytest.raises(ValueError):
+        store.keep_view(spark, f"{tmp_path}/v", lambda: users.unionByName(users), "id")
+
+
+def test_rules_take_thresholds(spark):
+    one = spark.createDataFrame([(120.0, None)], "p95 double, rps double")
+    got = {r.gate: r.passed for r in reports.gates(one, {"a": ("p95", "<", 130), "b": ("p95", "<", 100), "c": ("rps", ">", 1)}).collect()}
+    assert got == {"a": True, "b": False, "c": False}
+    both = spark.createDataFrame([("/a", 3000.0, 50.0), ("/b", 1.0, 100.0)], "endpoint string, p95 double, success double")
+    assert [r.endpoint for r in reports.threshold_failures(both).collect()] == ["/a", "/a"]
+    perms = spark.createDataFrame([(["read"],), (["admin"],), (None,)], "p array<string>")
+    assert [r[0] for r in perms.select(predicates.has_permission(nested.F.col("p"), "write")).collect()] == [False, True, False]
+
+
+def test_unknown_models_are_refused(spark):
+    with pytest.raises(ValueError):
+        hooks.generate(spark.createDataFrame([(1, "x")], "id int, text string"), "gone", ["id"])
+
+
 def test_empty_input(spark):
     assert sequences.fixed_window_limit(events(spark, [])).count() == 0
+    assert measures.percentiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", {"p": ("linear", 0.5)}).count() == 0
 
 
 def test_entry(spark):
