@@ -1,15 +1,5 @@
 """Scans, projections, filters and aggregates, declared as queries over the adapter views."""
 
-EXCLUSIVE = """max(case when rn = j then v end) + (max(case when rn = j + 1 then v end) - max(case when rn = j then v end)) * ({p} * (max(n) + 1) - max(j))"""
-
-
-def _exclusive(name: str, p: float, source: str) -> str:
-    """Exclusive percentile: rank p*(n+1) held to 1..n-1; a single value is its own."""
-    return f"""{name} as (select g, round(case when max(n) < 2 then max(v) else {EXCLUSIVE.format(p=p)} end, 6) as {name} from
-        (select g, v, n, rn, least(greatest(cast(floor({p} * (n + 1)) as bigint), 1), greatest(n - 1, 1)) as j from
-         (select g, v, count(*) over (partition by g) as n, row_number() over (partition by g order by v) as rn from {source}) x) y where rn in (j, j + 1) group by g)"""
-
-
 _RATE = "round(100.0 * sum(case when error <> '' then 1 else 0 end) / greatest(count(*), 1), 6) as error_rate"
 
 SQL = {
@@ -34,7 +24,7 @@ SQL = {
     "flt_recent_hours": "select request_id from request_metric where t > $NOW - 48 * 3600",
     "flt_slow_query": "select id, query, time_ms from query_log where time_ms > 100 order by time_ms desc, id limit 50",
     "flt_slow_query_log": "select id, time_ms from query_log where time_ms * 1000 > 100000",
-    "flt_slow_capture": "select request_id, duration from (select request_id, duration, row_number() over (order by t desc, request_id desc) as n from request_metric where duration > 100) x where n <= 100",
+    "flt_slow_capture": "select request_id, duration from request_metric where duration > 100 order by t desc, request_id desc limit 100",
     "flt_seq_scan_tables": "select id, tablename, seq_scan, seq_tup_read from table_stat where seq_scan > 1000 and seq_tup_read > 100000",
     "flt_not_null_or": "select id from table_stat where last_analyze is null or last_autoanalyze is null",
     "flt_dead_ratio": "select id, round(1.0 * dead / greatest(live, 1), 6) as ratio from table_stat where 1.0 * dead / greatest(live, 1) > 0.1",
@@ -62,7 +52,6 @@ SQL = {
     "agg_mem_trends": "select round(min(process_memory_mb), 6) as lo, round(max(process_memory_mb), 6) as hi, case when max_by(process_memory_mb, t * 100000.0 + id % 100000) > min_by(process_memory_mb, t * 100000.0 + id % 100000) then 'increasing' else 'decreasing' end as trend, min(python_objects) as objects_lo, max(python_objects) as objects_hi, count(gpu_percent) as gpu_n from memory_stat",
     "agg_pg_statements": "select query, count(*) as calls, round(sum(time_ms), 4) as total_time, round(avg(time_ms), 6) as mean_time, round(min(time_ms), 6) as min_time, round(max(time_ms), 6) as max_time, round(stddev_pop(time_ms), 6) as stddev_time, cast(sum(rows_) as bigint) as rows_ from query_log group by query",
     "agg_table_stats": "select count(*) as total, count(case when 1.0 * dead / greatest(live, 1) > 0.1 then 1 end) as need_vacuum, count(case when last_analyze is null or last_autoanalyze is null then 1 end) as need_analyze from table_stat",
-    "agg_k6_metrics": "select metric, count(*) as counter, round(avg(value), 6) as trend_avg, round(percentile_cont(0.95) within group (order by value), 6) as trend_p95, round(avg(case when value > 100 then 1.0 else 0.0 end), 6) as rate from metric_point group by metric",
     "agg_locust_totals": "select count(*) as requests, count(nullif(error, '')) as failures, round(100.0 * count(nullif(error, '')) / greatest(count(*), 1), 6) as failure_pct, round(avg(duration), 6) as avg_time, round(max(duration), 6) as max_time from request_metric",
     "agg_cache_hit_rate": "select round(100.0 * count(case when status = 200 then 1 end) / greatest(count(*), 1), 6) as hit_rate from request_metric",
     "agg_status_hist": "select status, count(*) as n from request_metric group by status",

@@ -17,8 +17,8 @@ SQL = {
     "win_running_avg": "select request_id, round(avg(duration) over (partition by user_id order by t, request_id rows between unbounded preceding and current row), 9) as running from request_metric",
     "win_running_peak": "select request_id, max(duration) over (partition by user_id order by t, request_id rows between unbounded preceding and current row) as peak from request_metric",
     "win_stream_count": "select conv_id, turn, row_number() over (partition by conv_id order by turn) as chunk from chat",
-    "win_last_errors": "select endpoint, request_id from (select endpoint, request_id, row_number() over (order by t desc, request_id desc) as n from request_metric where error <> '') x where n <= 10",
-    "win_last_snapshots": "select id, process_memory_mb from (select id, process_memory_mb, row_number() over (order by t desc, id desc) as n from memory_stat) x where n <= 10",
+    "win_last_errors": "select endpoint, request_id from request_metric where error <> '' order by t desc, request_id desc limit 10",
+    "win_last_snapshots": "select id, process_memory_mb from memory_stat order by t desc, id desc limit 10",
     "win_history_trim": "select conv_id, turn from (select conv_id, turn, row_number() over (partition by conv_id order by turn desc) as n, count(*) over (partition by conv_id) as c from chat) x where c <= 10 or n <= 6",
     "win_first_last_diff": f"select user_id, round(max_by(duration, {_LAST}) - min_by(duration, {_LAST}), 6) as growth, max_by(duration, {_LAST}) > min_by(duration, {_LAST}) as rising from request_metric group by user_id",
     "win_snapshot_diff": "select coalesce(a.site, b.site) as site, coalesce(b.size_, 0) - coalesce(a.size_, 0) as diff from (select endpoint as site, count(*) as size_ from request_metric where t < 1705276800 and status = 200 group by endpoint) a full outer join (select endpoint as site, count(*) as size_ from request_metric where t >= 1705276800 group by endpoint) b on a.site = b.site order by abs(coalesce(b.size_, 0) - coalesce(a.size_, 0)) desc, site limit 10",

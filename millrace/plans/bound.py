@@ -392,6 +392,14 @@ def agg_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return g.join(F.broadcast(p), "endpoint").select("endpoint", *r6("mean", "median", "p95", "p99", "lo", "hi"), "errors", *r6("success"))
 
 
+@query("select event_type as metric, count(*) as counter, round(avg(value), 6) as trend_avg, round(quantile_cont(value, 0.95), 6) as trend_p95, round(count(*) filter (value > 100) / count(*), 6) as rate from events group by event_type")
+def agg_k6_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    d = view(spark, sf, "metric_point")
+    p = measures.percentiles(d, ["metric"], "value", {"trend_p95": ("linear", 0.95)})
+    g = d.groupBy("metric").agg(F.count("*").alias("counter"), F.avg("value").alias("trend_avg"), (reports.share(F.col("value") > 100) / 100).alias("rate"))
+    return g.join(F.broadcast(p), "metric").select("metric", "counter", *r6("trend_avg", "trend_p95", "rate"))
+
+
 # ---- ordered, without one task for all -------------------------------------------------------------------------------------------
 
 
