@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -206,15 +207,21 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
     known = by_hash(marked).limit(labelled)
     others = by_hash(df.select(doc_id).where(f"{doc_id} is not null").join(marked, doc_id, "left_anti").distinct()).limit(pool).withColumn("__y", F.lit(None).cast("int"))
     some = df.join(F.broadcast(known.unionByName(others.select(*known.columns))), doc_id)
-    rows = _views(some, meta, text, [doc_id, "__y"]).collect()
-    rows = sorted(rows, key=lambda r: (r[doc_id], bytes(r["t"]), bytes(r["m"])))
-    as_matrix = lambda some, k, d: np.frombuffer(b"".join(bytes(r[k]) for r in some), np.float16).reshape(len(some), d).astype(np.float32)
-    mine, rest = [r for r in rows if r["__y"] is not None], [r for r in rows if r["__y"] is None]
-    y = np.array([float(r["__y"] > 0) for r in mine])
-    held = np.array([zlib.crc32(f"held {r[doc_id]}".encode()) % 4 == 0 for r in mine], bool)  # by id, so no order of the table shows in it
-    if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
-        return None
-    return co_train(*(as_matrix(mine, k, d) for k, d in (("t", CLASSES**2), ("m", META))), y, held, *(as_matrix(rest, k, d) for k, d in (("t", CLASSES**2), ("m", META))))
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), [float(y or 0) for y in b.column(1).to_pylist()], b.column(1).is_valid().to_pylist(), strict=True))
+        mine, rest = [r for r in rows if r[4]], [r for r in rows if not r[4]]
+        y = np.array([float(r[3] > 0) for r in mine])
+        held = np.array([zlib.crc32(f"held {r[0]}".encode()) % 4 == 0 for r in mine], bool)  # by id, so no order of the table shows in it
+        if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
+            return
+        as_matrix = lambda some, k, d: np.frombuffer(b"".join(r[k] for r in some), np.float16).reshape(len(some), d).astype(np.float32)
+        t, m, pool_t, pool_m = (as_matrix(some, k, d) for some in (mine, rest) for k, d in ((1, CLASSES**2), (2, META)))
+        del rows, mine, rest
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(co_train(t, m, y, held, pool_t, pool_m))], pa.binary())], ["model"])
+
+    # the sample is bounded, so one task trains on it; the driver gets the model only
+    got = _views(some, meta, text, [doc_id, "__y"]).repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(bytes(got[0][0])) if got else None
 
 
 def _scorer(model: Model, meta: tuple[str, ...]):

@@ -37,7 +37,7 @@ MISS = 1e-20
 #: Bits of the filters by which tasks know wanted rows and common shingles; full ones only cost time.
 FILTER_BITS = 1 << 26
 #: Hashes and sets that one verification task holds, about; larger components are verified in pairs of blocks.
-BLOCK, BLOCK_SETS = 600_000, 1_000
+BLOCK, BLOCK_SETS = 1_500_000, 20_000
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
