@@ -29,7 +29,7 @@ KEY = ["k1", "k2"]
 #: Shingles in so many signatures come last in the order; lists of up to this length give all pairs.
 COMMON = 32
 #: Times that signatures are made anew, at most, to be rid of common shingles; any that stay only cost time.
-ROUNDS = 2
+ROUNDS = 1
 #: Shared shingles of two signatures that make a candidate.
 SHARED = 3
 #: Odds of a missed candidate, far below those of two equal 64-bit hashes.
