@@ -1,7 +1,8 @@
 """Adapter views: the driver's tables read as telemetry, catalog, chat and vector inputs.
 
 Each view is one projection. ``$...`` marks the few words in which Spark SQL and the checking engine's SQL differ; all times are
-epoch seconds, so results don't depend on a session time zone or on how a reader types timestamps.
+epoch seconds, so results don't depend on a session time zone or on how a reader types timestamps. ``$PER`` divides doubles as
+the checking engine does: by zero into an infinity, or NaN. ``$MAX_BY`` and ``$MIN_BY`` take the least of tied names, which SQL leaves open.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ DIALECTS = {
         "$EPOCH": r"(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(\1 as timestamp_ntz)) / 1000000.0D)", "$K": "cast(get_json_object(props, '$.k') as int)",
         "$WORDS": r"regexp_count(\1, '\\\\S+')", "$TOKENS": r"filter(split(\1, '\\\\s+'), x -> x <> '')", "$STARTS": "startswith", 
         "$REGEX": r"(\1 rlike '\2')", "$JSON": "get_json_object", "$SHA_FROM": "sha2(", "$SHA_TO": ", 256)", "$JOIN": "array_join", "$PROMPT": "array_join(transform(array_sort(collect_list(struct(turn, text))), x -> x.text), chr(10))", "$NOW": "1706659200D",
+        "$PER": r"case when \2 = 0 then \1 * case when startswith(cast(\2 as string), '-') then double('-Infinity') else double('Infinity') end else \1 / \2 end",
+        "$MAX_BY": r"min_by(\1, case when \1 is not null and \2 is not null then struct(not isnan(\2), - \2, \1) end)", "$MIN_BY": r"min_by(\1, case when \1 is not null and \2 is not null then struct(\2, \1) end)",
     },
     "duck": {
         "$EPOCH": r"epoch(\1)", "$K": "cast(json_extract_string(props, '$.k') as integer)", "$WORDS": r"len(regexp_extract_all(\1, '\\S+'))", "$TOKENS": r"list_filter(regexp_split_to_array(\1, '\\s+'), lambda x: x <> '')",
         "$STARTS": "starts_with", "$REGEX": r"regexp_matches(\1, '\2')", "$JSON": "json_extract_string", "$SHA_FROM": "sha256(", "$SHA_TO": ")", "$JOIN": "array_to_string", "$PROMPT": "string_agg(text, chr(10) order by turn)", "$NOW": "1706659200::double",
+        "$PER": r"\1 / \2", "$MAX_BY": r"max_by(\1, \2)", "$MIN_BY": r"min_by(\1, \2)",
     },
 }
 
@@ -56,6 +60,8 @@ def render(sql: str, dialect: str) -> str:
     for word, put in DIALECTS[dialect].items():
         if word in ("$EPOCH", "$WORDS", "$TOKENS"):
             sql = re.sub(re.escape(word) + r"\(([^()]*)\)", lambda m, p=put: p.replace("\\\\", "\\").replace(r"\1", m[1]), sql)
+        elif word in ("$PER", "$MAX_BY", "$MIN_BY"):  # of two columns
+            sql = re.sub(re.escape(word) + r"\((\w+), (\w+)\)", put, sql)
         elif word == "$REGEX":
             sql = re.sub(r"\$REGEX\(([^,()]*(?:\([^()]*\))?), '((?:[^'])*)'\)", lambda m, p=put, d=dialect: p.replace(r"\1", m[1]).replace(r"\2", m[2].replace("\\", "\\\\") if d == "spark" else m[2]), sql)
         else:

@@ -162,6 +162,35 @@ def test_rules_take_thresholds(spark):
     assert [r[0] for r in perms.select(predicates.has_permission(nested.F.col("p"), "write")).collect()] == [False, True, False]
 
 
+def on_events(spark, tmp_path, name, rows):
+    """What the query and its SQL make of events ``(event_id, user_id, value, k)``."""
+    import duckdb
+
+    d = spark.createDataFrame([(i, u, v, f'{{"k": {k}}}') for i, u, v, k in rows], "event_id long, user_id long, value double, props string")
+    d = d.selectExpr("event_id", "timestamp'2024-01-01' as ts", "user_id", "'view' as event_type", "value", "props")
+    d.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL[name])
+    names = [x[0] for x in want.description]
+    return sorted(tuple(plain(r[c]) for c in names) for r in got.collect()), sorted(tuple(map(plain, r)) for r in want.fetchall())
+
+
+ZERO = [(1, 0, 2.0, 8), (2, 0, 4.0, 8), (4, 1, 0.0, 5), (5, 1, 2.0, 8), (8, 2, 1.0, 1)]
+
+
+@pytest.mark.parametrize(("rows", "best"), [(ZERO, "1"), ([(1, 0, 0.0, 0), (4, 0, 0.0, 3)], "2"), ([(1, 0, -0.0, 3), (4, 0, 1.0, 1)], "1")])
+def test_best_batch_with_requests_of_no_time(spark, tmp_path, rows, best):
+    got, want = on_events(spark, tmp_path, "agg_best_batch", rows)
+    assert got == want == [(best,)]
+
+
+def test_tied_batches(spark, tmp_path):
+    got, _ = on_events(spark, tmp_path, "agg_best_batch", [(3, 0, 0.0, 3), (2, 0, 0.0, 3), (5, 0, 0.0, 3), (4, 0, 1.0, 3)])
+    assert got == [("2",)]  # SQL leaves open which of 2, 3 and 4 it is
+
+
 def test_unknown_models_are_refused(spark):
     with pytest.raises(ValueError):
         hooks.generate(spark.createDataFrame([(1, "x")], "id int, text string"), "gone", ["id"])
