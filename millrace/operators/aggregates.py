@@ -45,8 +45,8 @@ SQL = {
     "agg_model_summary": f"select model_name, count(*) as n, round(avg(duration), 6) as avg_time, round(avg(tokens_generated / duration), 6) as avg_tps, round(avg(memory_usage), 6) as avg_peak, cast(sum(tokens_generated) as bigint) as tokens, {_RATE} from request_metric group by model_name",
     "agg_batch_perf": "select batch_size, count(*) as n, round(sum(duration), 4) as total_time, cast(sum(tokens_generated) as bigint) as tokens, round(avg(duration), 6) as avg_time from request_metric group by batch_size",
     "agg_gpu_metrics": "select round(avg(gpu_percent), 6) as avg_gpu, round(max(gpu_percent), 6) as max_gpu, round(avg(nullif(gpu_percent, 0)), 6) as avg_used from memory_stat",
-    "agg_compare_models": """with m as (select model_name, avg(duration) as a, avg(tokens_generated / duration) as tps, avg(memory_usage) as mem, avg(case when error <> '' then 1.0 else 0.0 end) as err from request_metric group by model_name)
-        select min_by(model_name, a) as fastest, max_by(model_name, tps) as best_tps, min_by(model_name, mem) as leanest, min_by(model_name, err) as safest from m""",
+    "agg_compare_models": """with m as (select model_name, avg(duration) as a, avg($PER(tokens_generated, duration)) as tps, avg(memory_usage) as mem, avg(case when error <> '' then 1.0 else 0.0 end) as err from request_metric group by model_name)
+        select $MIN_BY(model_name, a) as fastest, $MAX_BY(model_name, tps) as best_tps, $MIN_BY(model_name, mem) as leanest, $MIN_BY(model_name, err) as safest from m""",
     "agg_best_batch": "with b as (select batch_size, avg($PER(tokens_generated, duration)) as tps from request_metric group by batch_size) select $MAX_BY(batch_size, tps) as best from b having count(*) > 1",
     "agg_profile_latest": "with l as (select endpoint, duration, row_number() over (partition by endpoint order by t desc, request_id desc) as n from request_metric) select count(*) as views, round(sum(duration), 6) as total, round(avg(duration), 6) as avg_time, max_by(endpoint, duration) as slowest from l where n = 1",
     "agg_mem_trends": "select round(min(process_memory_mb), 6) as lo, round(max(process_memory_mb), 6) as hi, case when max_by(process_memory_mb, t * 100000.0 + id % 100000) > min_by(process_memory_mb, t * 100000.0 + id % 100000) then 'increasing' else 'decreasing' end as trend, min(python_objects) as objects_lo, max(python_objects) as objects_hi, count(gpu_percent) as gpu_n from memory_stat",

@@ -186,6 +186,12 @@ def test_best_batch_with_requests_of_no_time(spark, tmp_path, rows, best):
     assert got == want == [(best,)]
 
 
+def test_compared_models_with_requests_of_no_time(spark, tmp_path):
+    got, want = on_events(spark, tmp_path, "agg_compare_models", [*ZERO[:-1], (8, 2, 1.5, 1)])
+    assert got == [("model_1", "model_1", "model_2", "model_0")]  # no errors at all: SQL leaves the last open
+    assert got[0][:3] == want[0][:3]
+
+
 def test_tied_batches(spark, tmp_path):
     got, _ = on_events(spark, tmp_path, "agg_best_batch", [(3, 0, 0.0, 3), (2, 0, 0.0, 3), (5, 0, 0.0, 3), (4, 0, 1.0, 3)])
     assert got == [("2",)]  # SQL leaves open which of 2, 3 and 4 it is
