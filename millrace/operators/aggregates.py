@@ -42,7 +42,7 @@ SQL = {
     "agg_perf_summary": f"select count(*) as total, round(avg(duration), 6) as avg_duration, round(avg(cpu_usage), 6) as avg_cpu, round(avg(memory_usage), 6) as avg_memory, count(nullif(error, '')) as errors, {_RATE} from request_metric where t > $NOW - 15 * 86400",
     "agg_endpoint_stats": f"select method || ' ' || endpoint as name, count(*) as n, round(sum(duration), 4) as total_duration, round(avg(duration), 6) as avg_duration, count(nullif(error, '')) as errors, {_RATE} from request_metric group by method || ' ' || endpoint",
     "agg_model_stats": "select model_name, count(*) as n, cast(sum(tokens_generated) as bigint) as tokens, round(avg(duration), 6) as avg_duration, round(case when sum(tokens_generated) > 0 then sum(tokens_generated) / sum(duration) else 0 end, 6) as tokens_per_second from request_metric where model_name is not null group by model_name",
-    "agg_model_summary": f"select model_name, count(*) as n, round(avg(duration), 6) as avg_time, round(avg(tokens_generated / duration), 6) as avg_tps, round(avg(memory_usage), 6) as avg_peak, cast(sum(tokens_generated) as bigint) as tokens, {_RATE} from request_metric group by model_name",
+    "agg_model_summary": f"select model_name, count(*) as n, round(avg(duration), 6) as avg_time, round(avg($PER(tokens_generated, duration)), 6) as avg_tps, round(avg(memory_usage), 6) as avg_peak, cast(sum(tokens_generated) as bigint) as tokens, {_RATE} from request_metric group by model_name",
     "agg_batch_perf": "select batch_size, count(*) as n, round(sum(duration), 4) as total_time, cast(sum(tokens_generated) as bigint) as tokens, round(avg(duration), 6) as avg_time from request_metric group by batch_size",
     "agg_gpu_metrics": "select round(avg(gpu_percent), 6) as avg_gpu, round(max(gpu_percent), 6) as max_gpu, round(avg(nullif(gpu_percent, 0)), 6) as avg_used from memory_stat",
     "agg_compare_models": """with m as (select model_name, avg(duration) as a, avg($PER(tokens_generated, duration)) as tps, avg(memory_usage) as mem, avg(case when error <> '' then 1.0 else 0.0 end) as err from request_metric group by model_name)

@@ -192,6 +192,12 @@ def test_compared_models_with_requests_of_no_time(spark, tmp_path):
     assert got[0][:3] == want[0][:3]
 
 
+@pytest.mark.parametrize("rows", [ZERO, [(1, 0, 0.0, 0), (4, 1, -0.0, 3), (5, 2, 1.0, 3)]])
+def test_model_summary_with_requests_of_no_time(spark, tmp_path, rows):
+    got, want = on_events(spark, tmp_path, "agg_model_summary", rows)
+    assert got == want
+
+
 def test_tied_batches(spark, tmp_path):
     got, _ = on_events(spark, tmp_path, "agg_best_batch", [(3, 0, 0.0, 3), (2, 0, 0.0, 3), (5, 0, 0.0, 3), (4, 0, 1.0, 3)])
     assert got == [("2",)]  # SQL leaves open which of 2, 3 and 4 it is
