@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix64, small_batches, word_hashes
+from millrace.llm.common import lean, mix64, small_batches, word_hashes
 
 #: Bounds of what is fitted on: labelled rows, and rows that may get a pseudo-label.
 LABELLED, POOL = 3000, 2000
@@ -193,7 +193,7 @@ def _views(df: DataFrame, meta: tuple[str, ...], text: str, keep: list[str]) ->
 
     d = df.select(*keep, F.col(text).alias("__text"), *_strings(meta))
     types = dict(d.dtypes)
-    return d.mapInArrow(run, ", ".join([*[f"{k} {types[k]}" for k in keep], "t binary, m binary"]))
+    return d.mapInArrow(lean(run), ", ".join([*[f"{k} {types[k]}" for k in keep], "t binary, m binary"]))
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", meta: tuple[str, ...] = ("lang", "source"), labelled: int = LABELLED, pool: int = POOL) -> Model | None:
@@ -220,7 +220,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(co_train(t, m, y, held, pool_t, pool_m))], pa.binary())], ["model"])
 
     # the sample is bounded, so one task trains on it; the driver gets the model only
-    got = _views(some, meta, text, [doc_id, "__y"]).repartition(1).mapInArrow(train, "model binary").collect()
+    got = _views(some, meta, text, [doc_id, "__y"]).repartition(1).mapInArrow(lean(train), "model binary").collect()
     return pickle.loads(bytes(got[0][0])) if got else None
 
 
@@ -261,7 +261,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", doc_id: str =
             out = scores(b)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), pa.array([x >= least for x in out], pa.bool_())], ["doc_id", "score", "kept"])
 
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, score double, kept boolean")
+    return d.mapInArrow(lean(run), f"doc_id {dict(d.dtypes)['doc_id']}, score double, kept boolean")
 
 
 def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", meta: tuple[str, ...] = ("lang", "source"), least: float = LEAST) -> DataFrame:
@@ -279,4 +279,4 @@ def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
         for b in batches:
             yield b.filter(pa.array([x >= least for x in scores(b)], pa.bool_())).select(names)
 
-    return df.select(*names, F.col(text).alias("__text"), *_strings(meta)).mapInArrow(run, df.schema)
+    return df.select(*names, F.col(text).alias("__text"), *_strings(meta)).mapInArrow(lean(run), df.schema)

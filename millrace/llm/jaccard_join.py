@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import join_counted, keep_rows, mix64, row_key, shingle_hashes, small_batches, staged, unstage, word_hashes
+from millrace.llm.common import join_counted, keep_rows, lean, mix64, row_key, shingle_hashes, small_batches, staged, unstage, word_hashes
 from millrace.llm.components import components
 
 #: A link needs NUM / DEN of the union.
@@ -138,7 +138,7 @@ def _sets(df: DataFrame, keep: list[str], lower: bool, exact: bool = False, comm
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], [*keep, "n", "hi", "lo", "tokens"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*dict.fromkeys([*keep, "k1", "text"])).mapInArrow(run, f"{kinds}, n long, hi long, lo long, tokens array<long>")
+    return df.select(*dict.fromkeys([*keep, "k1", "text"])).mapInArrow(lean(run), f"{kinds}, n long, hi long, lo long, tokens array<long>")
 
 
 def link_sets(keys: list[int], sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[int, int]]:
@@ -244,7 +244,7 @@ def _candidates(signatures: DataFrame) -> DataFrame:
     e = staged(join_counted(e, lists, ["t"], "c"), "entries")
     star = e.where(F.col("c") > COMMON).where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b")).distinct()
     short = e.where(F.col("c") <= COMMON).groupBy("t").agg(F.collect_list("rep").alias("reps"), F.collect_list("n").alias("sizes"))
-    near = short.select("reps", "sizes").mapInPandas(pairs, "a long, b long, need int").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need")
+    near = short.select("reps", "sizes").mapInPandas(lean(pairs), "a long, b long, need int").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need")
     return star.unionByName(near.select("a", "b"))
 
 
@@ -286,7 +286,7 @@ def _signatures(base: DataFrame, reps: DataFrame, lower: bool, exact: bool) -> D
                     ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
                     yield b.filter(pa.array(hit[ends[1:]] > hit[ends[:-1]])).select(["rep"])
 
-            keys = keys.join(staged(now.mapInArrow(has_fresh, "rep long"), "again"), "rep")
+            keys = keys.join(staged(now.mapInArrow(lean(has_fresh), "rep long"), "again"), "rep")
         keys = staged(keys, "wanted")
         made = _sets(base, KEY, lower, exact, common, _filter(keys, "k1")).join(keys, KEY).select("rep", "n", "tokens")
         now = staged(made if not turn else now.join(keys, "rep", "left_anti").unionByName(made), "signatures")

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches, staged
+from millrace.llm.common import KEPT, lean, small_batches, staged
 
 END_ID = 1
 #: Positions of the order that are packed together by ``pack_in_order``: ten periods of a mix of 25 blocks of 16 documents.
@@ -32,6 +32,7 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _CHARS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 _CACHE: dict[str, WordTokens] = {}
+KEPT.append(_CACHE)
 
 
 class Recent(dict):
@@ -164,7 +165,7 @@ def token_pieces(df: DataFrame, tokenizer: str, text: str, doc_id: str, size: in
     small_batches(df.sparkSession)
     d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).cast("long").alias("order") for c in [order] if c])
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return d.mapInArrow(lean(cut, keep=True), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", size: int = 4096) -> DataFrame:

@@ -517,6 +517,12 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
 
 
+def test_workers_keep_no_cache_of_another_operator():
+    packing.WordTokens.at(tokenizer_file()).ids("kept words")
+    assert list(common.lean(lambda b: b, keep=True)(iter([1, 2]))) == [1, 2] and packing._CACHE
+    assert list(common.lean(lambda b: b)(iter([1, 2]))) == [1, 2] and not packing._CACHE
+
+
 def test_pipeline_keeps_the_mix(spark, tmp_path, monkeypatch):
     import corpus_pipeline
 
