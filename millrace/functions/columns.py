@@ -68,7 +68,11 @@ def with_commas(x: Column, places: int = 0) -> Column:
 
 
 def fixed(x: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", x)
+    """As ``printf`` writes it: the double's exact value is rounded, a tie to the even digit (``format_string`` rounds its shortest
+    decimal, ties up). Numbers of over 17 digits end in zeros."""
+    d = x.cast("double")
+    odd = F.when(F.isnan(d), "nan").when(d == float("inf"), "inf").when(d == float("-inf"), "-inf")
+    return F.coalesce(odd, F.call_function("format_number", d, F.lit("0" + "." * (places > 0) + "0" * places)))
 
 
 def padded(x: Column, width: int = 3) -> Column:

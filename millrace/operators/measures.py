@@ -26,6 +26,28 @@ def global_rank(df: DataFrame, by: str, ties: list[str], name: str, descending:
     return d.withColumn("__own", F.row_number().over(own)).join(F.broadcast(base), "__range").withColumn(name, F.col("__own") + F.col("__base")).drop("__range", "__own", "__base")
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by equal names in which null meets null."""
+    other = right.withColumnsRenamed({k: f"__on_{k}" for k in on})
+    return left.join(other, [left[k].eqNullSafe(other[f"__on_{k}"]) for k in on], how).drop(*(f"__on_{k}" for k in on))
+
+
+def _product(a: Column, b: Column) -> tuple[Column, Column]:
+    """A product of doubles, and what its rounding lost."""
+    split = lambda x: (x * 134217729.0) - (x * 134217729.0 - x)
+    p, ah, bh = a * b, split(a), split(b)
+    return p, ((ah * bh - p) + ah * (b - bh) + (a - ah) * bh) + (a - ah) * (b - bh)
+
+
+def _between(low: Column, high: Column, f: Column) -> Column:
+    """``low * (1 - f) + high * f``, the first product unrounded, as a fused multiply-add and so SQL's ``quantile_cont`` has it: its
+    last bit decides how a value that ends in a half is written."""
+    (p, lost), q = _product(low, 1 - f), high * f
+    s = p + q
+    rest = (p - (s - (s - p))) + (q - (s - p)) + lost
+    return F.when(f == 0, low).when((F.abs(low) < 1e290) & (F.abs(s) < 1e290), s + rest).otherwise(s)
+
+
 def percentiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """``group`` and one column for each of ``wanted``: ``name: (kind, p)``, exact.
 
@@ -42,7 +64,7 @@ def percentiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, t
     upto = Window.partitionBy(*keys).orderBy("__range")
     sizes = sizes.select(*keys, "__range", (F.sum("__size").over(upto) - F.col("__size")).alias("__base"), F.sum("__size").over(Window.partitionBy(*keys)).alias("__all_n"))
     within = Window.partitionBy(*keys, "__range").orderBy("__v")
-    c = counted.withColumn("__to", F.sum("__n").over(within)).join(F.broadcast(sizes), [*keys, "__range"])
+    c = null_safe(counted.withColumn("__to", F.sum("__n").over(within)), F.broadcast(sizes), [*keys, "__range"])
     c = c.withColumn("__to", F.col("__to") + F.col("__base")).withColumn("__from", F.col("__to") - F.col("__n"))  # its places: from <= place < to
     n = F.col("__all_n")
     at = lambda place: F.max(F.when((F.col("__from") <= place) & (place < F.col("__to")), F.col("__v")))
@@ -56,5 +78,6 @@ def percentiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, t
         j = F.floor(exact).cast("long") if kind == "linear" else F.greatest(F.least(F.floor(exact).cast("long"), n - 1), F.lit(1))
         low = j if kind == "linear" else j - 1
         out += [at(low).alias(f"__{name}l"), at(F.least(low + 1, n - 1)).alias(f"__{name}h"), F.max(exact - j).alias(f"__{name}f")]
-        cols.append((F.col(f"__{name}l") + (F.col(f"__{name}h") - F.col(f"__{name}l")) * F.col(f"__{name}f")).alias(name))
+        low, high, f = (F.col(f"__{name}{x}") for x in "lhf")
+        cols.append((_between(low, high, f) if kind == "linear" else low + (high - low) * f).alias(name))
     return c.groupBy(*keys).agg(*out).select(*group, *cols)

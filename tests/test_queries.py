@@ -8,6 +8,7 @@ from decimal import Decimal
 
 import pytest
 
+from millrace.functions import columns
 from millrace.operators import hooks, measures, nested, predicates, reports, sequences, store
 from millrace.plans import catalog
 from millrace.plans.engine import TABLES
@@ -162,12 +163,12 @@ def test_rules_take_thresholds(spark):
     assert [r[0] for r in perms.select(predicates.has_permission(nested.F.col("p"), "write")).collect()] == [False, True, False]
 
 
-def on_events(spark, tmp_path, name, rows):
+def on_events(spark, tmp_path, name, rows, kind="'view'"):
     """What the query and its SQL make of events ``(event_id, user_id, value, k)``."""
     import duckdb
 
     d = spark.createDataFrame([(i, u, v, f'{{"k": {k}}}') for i, u, v, k in rows], "event_id long, user_id long, value double, props string")
-    d = d.selectExpr("event_id", "timestamp'2024-01-01' as ts", "user_id", "'view' as event_type", "value", "props")
+    d = d.selectExpr("event_id", "timestamp'2024-01-01' as ts", "user_id", f"{kind} as event_type", "value", "props")
     d.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = catalog.QUERIES[name](spark, str(tmp_path))
     con = duckdb.connect()
@@ -203,6 +204,32 @@ def test_tied_batches(spark, tmp_path):
     assert got == [("2",)]  # SQL leaves open which of 2, 3 and 4 it is
 
 
+def test_numbers_are_written_as_printf_writes_them(spark):
+    r = random.Random(5)
+    values = [0.125, 0.375, -0.125, 150.505, 2000.125, 1.005, 1e12 + 0.125, 0.0, -0.001, 1e22, *(r.randrange(40000) / 200 for _ in range(500))]
+    d = spark.createDataFrame([(x,) for x in [*values, math.inf, -math.inf, None]], "x double")
+    got = d.select("x", columns.fixed(nested.F.col("x"), 2).alias("two"), columns.fixed(nested.F.col("x"), 0).alias("none")).collect()
+    assert all((g.two, g.none) == (("%.2f" % g.x, "%.0f" % g.x) if g.x is not None else (None, None)) for g in got)
+    ends = spark.createDataFrame([("/a", 2000.125, 98.125)], "endpoint string, p95 double, success double")
+    assert [x.line for x in reports.threshold_failures(ends).collect()] == ["/a: P95 response time 2000.12 exceeds 2000.00", "/a: success rate 98.12 below 99.00"]
+
+
+def test_thresholds_of_odd_endpoints(spark, tmp_path):
+    rows = [(1, 0, 150.505, 1), (2, 0, None, 1), (3, 0, None, 1), (4, 0, 300.0, 1), (5, 0, 200.0, 1), (6, 0, 200.01, 1)]
+    got, want = on_events(spark, tmp_path, "rul_lt_thresholds", rows, "case event_id when 1 then 'view' when 2 then 'error' when 4 then null else 'click' end")
+    assert got == want and len(got) == 4
+
+
+def test_percentiles_to_the_last_bit(spark, duck):
+    r = random.Random(4)
+    rows = [(g, r.randrange(20000) / 100) for g in range(60) for _ in range(r.randint(3, 90))]
+    d = spark.createDataFrame(rows, "g int, v double")
+    got = {x.g: x.p for x in measures.percentiles(d, ["g"], "v", {"p": ("linear", 0.95)}).collect()}
+    duck.execute("create or replace table percentile_rows (g int, v double)")
+    duck.executemany("insert into percentile_rows values (?, ?)", rows)
+    assert got == dict(duck.execute("select g, quantile_cont(v, 0.95e0) from percentile_rows group by g").fetchall())
+
+
 def test_unknown_models_are_refused(spark):
     with pytest.raises(ValueError):
         hooks.generate(spark.createDataFrame([(1, "x")], "id int, text string"), "gone", ["id"])
