@@ -8,48 +8,59 @@ from pyspark.sql import functions as F
 #: Any source without a weight of its own has this entry's weight.
 OTHERS = "*"
 BUCKETS = 1024
-#: Sources that have lanes of their own, and slots of a period, at most: the plan that is broadcast stays small.
-MOST_SOURCES, MOST_SLOTS = 1000, 100_000
-
-
-def edf_period(weights: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """``(source, j, slot, release, deadline)`` for one period of ``sum(weights)`` slots.
-
-    Block ``j`` of a source with ``w`` of ``D`` slots may run from slot ``floor(j*D/w)`` and must have run by
-    ``ceil((j+1)*D/w)``; each slot goes to the released block with the earliest deadline. At every slot a source is
-    then less than one block away from its share.
-    """
-    total, done, out = sum(weights.values()), dict.fromkeys(weights, 0), []
-    for slot in range(total):
-        ready = []
-        for s, w in weights.items():
-            j = done[s]
-            if j < w and j * total // w <= slot:
-                ready.append((-(-(j + 1) * total // w), s, j, j * total // w))
-        deadline, s, j, release = min(ready)
-        done[s] += 1
-        out.append((s, j, slot, release, deadline))
-    return out
+#: None: each source has a lane of its own, whatever their number. Who sets a number lets sources without a weight share one beyond it.
+MOST_SOURCES: int | None = None
+#: The sum of the given weights, at most.
+MOST_SLOTS = 100_000
 
 
 def phases(blocks: dict[str, int], weights: dict[str, int]) -> tuple[list[tuple], list[tuple]]:
     """Lanes ``(source, phase, first, last, w, period, start)`` and slots ``(source, phase, j, slot, release, deadline)``.
 
-    When a source has no blocks left, the others go on with their own weights in a new phase.
+    Earliest deadline first: block ``j`` of a source with ``w`` of ``D`` slots may run from slot ``floor(j*D/w)`` and must have run by
+    ``ceil((j+1)*D/w)``; each slot goes to the released block with the earliest deadline. At every slot a source is then less
+    than one block away from its share. When a source has no blocks left, the others go on with their own weights in a new phase. Sources of one weight take turns
+    by name, so a slot compares one source of each weight; a phase that ends in its first period lists only what it placed.
     """
     lanes, slots, used, start, phase = [], [], dict.fromkeys(blocks, 0), 0, 0
-    while live := {s: weights[s] for s in sorted(blocks) if used[s] < blocks[s]}:
-        period = sum(live.values())
-        table = edf_period(live)
-        at = {(s, j): slot for s, j, slot, _, _ in table}
-        place = lambda s, j: j // live[s] * period + at[s, j % live[s]]
-        end = min(place(s, blocks[s] - used[s] - 1) for s in live) + 1
+    groups: dict[int, list[str]] = {}
+    for s in sorted(blocks, reverse=True):
+        groups.setdefault(weights[s], []).append(s)  # the first name is last, where it is cheap to take out
+    while groups:
+        period = sum(w * len(names) for w, names in groups.items())
+        done, table, dry = dict.fromkeys(groups, 0), [], None
+        for slot in range(period):
+            ready = []
+            for w, names in groups.items():
+                j, i = divmod(done[w], len(names))
+                if j < w and j * period // w <= slot:
+                    ready.append((-(-(j + 1) * period // w), names[-1 - i], j, j * period // w, w))
+            deadline, s, j, release, w = min(ready)
+            done[w] += 1
+            table.append((s, j, slot, release, deadline))
+            if used[s] + j + 1 == blocks[s]:
+                dry, i = s, (done[w] - 1) % len(groups[w])
+                break
+        if dry is None:
+            at = {(s, j): slot for s, j, slot, _, _ in table}
+            place = lambda s, j: j // weights[s] * period + at[s, j % weights[s]]  # noqa: E731, B023
+            end, dry = min((place(s, blocks[s] - used[s] - 1) + 1, s) for names in groups.values() for s in names)
+            i = len(groups[weights[dry]]) - 1 - groups[weights[dry]].index(dry)
+        else:
+            end = len(table)
         whole, rest = divmod(end, period)
-        for s, w in live.items():
-            n = whole * w + sum(1 for x in table if x[0] == s and x[2] < rest)
-            lanes.append((s, phase, used[s], used[s] + n, w, period, start))
+        count = {}
+        for s, _, slot, _, _ in table:
+            count[s] = count.get(s, 0) + (slot < rest)
+        for s, n in count.items():
+            n += whole * weights[s]
+            lanes.append((s, phase, used[s], used[s] + n, weights[s], period, start))
             used[s] += n
         slots += [(s, phase, j, slot, r, d) for s, j, slot, r, d in table]
+        names = groups[weights[dry]]
+        del names[-1 - i]
+        if not names:
+            del groups[weights[dry]]
         start, phase = start + end, phase + 1
     return lanes, slots
 
@@ -66,21 +77,21 @@ def mix_sources(df: DataFrame, weights: dict[str, int], source: str = "source",
     each get a place. Columns named as the new ones are replaced.
 
     Ranks within a source are counted by ``BUCKETS`` hash buckets, so a hot source is dealt over as many tasks. The plan
-    that is broadcast depends on the number of sources and the weights, not on the rows. Where there are over
-    ``MOST_SOURCES`` sources, those without a weight of their own share one lane, with the weight of ``*``.
+    that is broadcast depends on the number of sources and the weights, with few sources not on the rows. There are as
+    many phases as sources, and any number of sources is mixed by the same rule.
     """
     new = ("mix_phase", "mix_block", "mix_release", "mix_deadline", "mix_position")
     h = F.xxhash64(F.col(doc_id))
     d = df.drop(*new).withColumns({"__source": F.coalesce(F.col(source).cast("string"), F.lit("")), "__hash": h, "__bucket": F.shiftrightunsigned(h, 54).cast("int")})
     spark = df.sparkSession
     sizes = d.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
-    if sizes.select("__source").distinct().limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+    if sum(weights.values()) > MOST_SLOTS:
+        raise ValueError(f"weights must add up to {MOST_SLOTS} at most")
+    if MOST_SOURCES is not None and sizes.select("__source").distinct().limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
         named = F.col("__source").isin(*(s for s in weights if s != OTHERS))
         d = d.withColumn("__source", F.when(named, F.col("__source")).otherwise(OTHERS))
         sizes = d.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
     totals = {r[0]: -(-r[1] // block_docs) for r in sizes.groupBy("__source").agg(F.sum("n")).collect()}
-    if sum(weights.get(s, weights.get(OTHERS, 1)) for s in totals) > MOST_SLOTS:
-        raise ValueError(f"weights must add up to {MOST_SLOTS} at most")
     lanes, slots = phases(totals, {s: weights.get(s, weights.get(OTHERS, 1)) for s in totals})
     lane = spark.createDataFrame(lanes, "__source string, mix_phase int, __first long, __last long, __w long, __period long, __start long")
     slot = spark.createDataFrame(slots, "__source string, mix_phase int, __j long, __slot long, __release long, __deadline long")

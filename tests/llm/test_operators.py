@@ -409,6 +409,13 @@ def test_many_sources_share_a_lane(spark, monkeypatch):
         mixing.mix_sources(d, {"big": 10**6})
 
 
+def test_many_sources_are_mixed_as_few_are(spark):
+    d = spark.createDataFrame([(i, f"s{i:04d}" if i < 1300 else "big") for i in range(2600)], "doc_id long, source string")
+    out = sorted(mixing.mix_sources(d, {"big": 300, "*": 1}, block_docs=2).collect(), key=lambda r: r.mix_position)
+    assert len(out) == len({r.mix_position for r in out}) == 2600
+    assert len({r.mix_phase for r in out}) == 1301 and all(r.mix_block == 0 for r in out if r.source != "big")  # each source dries by itself
+
+
 def test_url_filter_with_many_rules(spark, monkeypatch):
     r = random.Random(9)
     name = lambda: r.choice(["a", "b", "c.a", "d.b", "www.a", "e"])
